@@ -18,10 +18,12 @@ own band and in that of the next:
   all sets of a band would share stay out of the shuffle.
 
 Signatures travel as sorted binary blobs, one per map batch and bucket, not as
-rows. A bucket finds the runs of equal signatures. Candidates are verified on the
-whole sets in three steps: each set against the smallest set it ever shares a
-run with; then against the first of each run with which it is not yet connected;
-then the remaining pairs of a run whose ends are still in different components.
+rows. A bucket finds the runs of equal signatures. Candidates are verified in three steps, each first by
+sizes and by member counts of 256 hash cells (a lower bound of the symmetric
+difference) and then, if these allow a link, on the whole sets: each set against that first set of a run with
+which it shares the most runs; then against the first of each run with which it is not yet connected;
+then the remaining pairs under one first whose ends are still in different components,
+in blocks of bounded size.
 The result holds components only, so pairs inside a component need no check and
 the copies of a large group cost one or a few checks each instead of all pairs.
 
@@ -56,6 +58,10 @@ SMALL_K = 5
 #: Signatures gathered before a map task writes its blobs, and aimed at per bucket.
 FLUSH = 3_000_000
 PER_BUCKET = 1_500_000
+#: Sets of one group compared in one task; larger groups are dealt in blocks of about this size.
+BLOCK = 2048
+#: Hash cells whose member counts tell most unlinked pairs apart before whole sets are read.
+CELLS = 256
 
 _MULT = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)]
 
@@ -165,7 +171,7 @@ def signatures(sets: list[np.ndarray], schemes: Schemes) -> tuple[np.ndarray, np
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
 _BLOBS = pa.schema([("bucket", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("nodes", pa.binary())])
-_RUNS = pa.schema([("run", pa.int64()), ("node", pa.int64()), ("first", pa.int64())])
+_RUNS = pa.schema([("run", pa.int64()), ("node", pa.int64()), ("first", pa.int64()), ("weight", pa.int64())])
 
 
 def _describe(batches):
@@ -245,32 +251,90 @@ def _runs(table: pa.Table) -> pa.Table:
         start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         size = np.diff(np.concatenate((start, [len(sig)])))
         members = np.add.reduceat(mix(node.view(U64)), start)
-        _, once = np.unique(members, return_index=True)
-        once = once[size[once] > 1]
-        keep = np.zeros(len(start), bool)
-        keep[once] = True
-        at = np.repeat(keep, size)
+        _, once, alike = np.unique(members, return_index=True, return_counts=True)
+        once, alike = once[size[once] > 1], alike[size[once] > 1]
+        weight = np.zeros(len(start), np.int64)
+        weight[once] = alike
+        weight = np.repeat(weight, size)
+        at = weight > 0
+        weight = weight[at]
         run = np.repeat(members.view(np.int64), size)[at]
         first = np.repeat(node[start], size)[at]
         node = node[at]
     else:
-        run = first = node
-    return pa.table([pa.array(run), pa.array(node), pa.array(first)], schema=_RUNS)
+        run = first = weight = node
+    return pa.table([pa.array(run), pa.array(node), pa.array(first), pa.array(weight)], schema=_RUNS)
 
 
-def _contents(batches):
+def _cells(x: np.ndarray) -> bytes:
+    """How many members fall in each of ``CELLS`` hash cells, at most 255 told."""
+    return np.minimum(np.bincount((mix(x) >> U64(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def _contents(describe):
+    """(node, size, ``describe(members)``) of every text with shingles."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("members", pa.binary())])
-    for t in batches:
-        nodes, n, blobs, held = [], [], [], 0
-        for i, x in _with_end(shingle_sets(t.column(0))):
-            if x is not None and len(x):
-                nodes.append(set_id(x))
-                n.append(len(x))
-                blobs.append(x.tobytes())
-                held += len(x)
-            if nodes and (x is None or held > 1 << 20):
-                yield pa.record_batch([pa.array(nodes), pa.array(n), pa.array(blobs, pa.binary())], schema=schema)
-                nodes, n, blobs, held = [], [], [], 0
+
+    def run(batches):
+        for t in batches:
+            nodes, n, blobs, held = [], [], [], 0
+            for i, x in _with_end(shingle_sets(t.column(0))):
+                if x is not None and len(x):
+                    nodes.append(set_id(x))
+                    n.append(len(x))
+                    blobs.append(describe(x))
+                    held += len(x)
+                if nodes and (x is None or held > 1 << 20):
+                    yield pa.record_batch([pa.array(nodes), pa.array(n), pa.array(blobs, pa.binary())], schema=schema)
+                    nodes, n, blobs, held = [], [], [], 0
+
+    return run
+
+
+def _near(num: int, den: int):
+    """Keeps pairs whose cell counts differ by no more than a link allows."""
+
+    def run(batches):
+        for t in batches:
+            na, nb = (t.column(c).to_numpy() for c in ("na", "nb"))
+            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int32) for c in ("ca", "cb"))
+            apart = np.abs(x - y).sum(1)
+            ok = (num + den) * apart <= (den - num) * (na + nb)
+            yield t.select(["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+def _apart(num: int, den: int):
+    """Pairs of one block, or of two, in different components and not ruled out by sizes and cells.
+
+    A pair with several firsts in common is returned under the smallest only.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("mine").to_numpy(), kind="stable")
+        mine, node, label, n = (table.column(c).to_numpy()[order] for c in ("mine", "node", "label", "n"))
+        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)[order].astype(np.int16)
+        firsts = table.column("firsts").to_pylist()
+        firsts = [set(firsts[i]) for i in order]
+        here = table.column("first")[0].as_py()
+        x, y = (table.column(c)[0].as_py() for c in "xy")
+        two = x != y
+        half = int(np.searchsorted(mine, x, "right"))
+        out_a, out_b = [], []
+        for i in range(half if two else len(mine) - 1):
+            rest = np.arange(half if two else i + 1, len(mine))
+            rest = rest[(label[rest] != label[i]) & (np.minimum(n[rest], n[i]) * den >= np.maximum(n[rest], n[i]) * num)]
+            if not len(rest):
+                continue
+            apart = np.abs(cells[rest] - cells[i]).sum(1, dtype=np.int32)
+            for j in rest[(num + den) * apart <= (den - num) * (n[rest] + n[i])].tolist():
+                if min(firsts[i] & firsts[j]) == here:
+                    out_a.append(max(node[i], node[j]))
+                    out_b.append(min(node[i], node[j]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return run
 
 
 def _verify(num: int, den: int):
@@ -306,38 +370,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = int(min(65536, max(64, 0.6 * total / PER_BUCKET)))
 
     blobs = narrow.select("text").mapInArrow(_blobs(buckets, num, den), "bucket int, low binary, high binary, nodes binary")
-    runs = blobs.groupBy("bucket").applyInArrow(lambda t: _runs(t), "run long, node long, first long")
+    runs = blobs.groupBy("bucket").applyInArrow(lambda t: _runs(t), "run long, node long, first long, weight long")
     runs = shared_table(runs, "jaccard-runs")
 
-    found = runs.select("node").distinct()
-    reps = classes.join(found, "node", "left_semi")
-    chosen = bitmap.probe(narrow, bitmap.build(reps, "rep"), "doc_id").filter("_may").select("text")
-    contents = chosen.mapInArrow(_contents, "node long, n long, members binary")
-    contents = contents.join(found, "node", "left_semi").dropDuplicates(["node"])
-    contents = shared_table(contents, "jaccard-contents")
+    def contents(nodes: DataFrame, describe) -> DataFrame:
+        """(node, n, description) of the sets in ``nodes``, from the texts of one row each."""
+        reps = classes.join(nodes, "node", "left_semi")
+        chosen = bitmap.probe(narrow, bitmap.build(reps, "rep"), "doc_id").filter("_may").select("text")
+        return chosen.mapInArrow(_contents(describe), "node long, n long, members binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    sizes = contents.select("node", "n")
+    cells = shared_table(contents(runs.select("node").distinct(), _cells), "jaccard-cells")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """pairs (a, b), checked on whole sets; pairs whose sizes rule a link out go first."""
+        """(a, b, linked) of the pairs that sizes and cell counts don't rule out, checked on whole sets."""
         near = (
-            pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a")
-            .join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
+            pairs.join(cells.toDF("a", "na", "ca"), "a")
+            .join(cells.toDF("b", "nb", "cb"), "b")
             .filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-            .select("a", "b")
-        )
-        whole = (
-            near.join(contents.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a")
-            .join(contents.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
-            .select("a", "b", "ma", "mb")
+            .mapInArrow(_near(num, den), "a long, b long")
         )
+        near = shared_table(near, f"{name}-near")
+        nodes = shared_table(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
+        sets = shared_table(contents(nodes, bytes), f"{name}-sets").select("node", "members")
+        whole = near.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
         return shared_table(whole.mapInArrow(_verify(num, den), "a long, b long, linked boolean"), name)
 
     def labelled(links: DataFrame) -> DataFrame:
         return components(links.filter("linked"))
 
     stars = runs.filter("node <> first")
-    tried = verified(stars.groupBy("node").agg(F.min("first").alias("b")).select(F.col("node").alias("a"), "b"), "jaccard-tried-1")
+    met = stars.groupBy("node", "first").agg(F.sum("weight").alias("times"))
+    met = shared_table(met, "jaccard-met")
+    most = met.groupBy("node").agg(F.max_by("first", F.struct("times", "first")).alias("b"))
+    tried = verified(most.select(F.col("node").alias("a"), "b"), "jaccard-tried-1")
     labels = labelled(tried)
 
     def apart(pairs: DataFrame) -> DataFrame:
@@ -347,18 +412,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
         )
 
-    second = stars.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    second = met.select(F.col("node").alias("a"), F.col("first").alias("b"))
     second = apart(second).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     tried = tried.unionByName(verified(second, "jaccard-tried-2"))
     labels = labelled(tried)
 
-    # What is left: runs that hold sets of two or more components besides their first set.
-    held = stars.join(labels, "node", "left").select("run", "node", F.coalesce("label", "node").alias("label"))
-    held = shared_table(held, "jaccard-held")
-    mixed = held.groupBy("run").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("run")
-    held = held.join(mixed, "run", "left_semi")
-    left, right = held.withColumnsRenamed({"node": "a", "label": "la"}), held.withColumnsRenamed({"node": "b", "label": "lb"})
-    third = left.join(right, "run").filter("a > b and la <> lb").select("a", "b").distinct()
+    # What is left: sets that share the first of a run and are in different components.
+    held = met.join(labels, "node", "left").select("first", "node", F.coalesce("label", "node").alias("label"))
+    mixed = held.groupBy("first").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
+    held = shared_table(held.join(mixed.select("first", "m"), "first"), "jaccard-held")
+    firsts = held.groupBy("node").agg(F.collect_list("first").alias("firsts"))
+    blocks = F.ceil(F.col("m") / BLOCK)
+    dealt = held.join(cells.withColumnsRenamed({"members": "cells"}), "node").join(firsts, "node").withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("first", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "label", "n", "cells", "firsts")
+    third = dealt.groupBy("first", "x", "y").applyInArrow(_apart(num, den), "a long, b long")
     third = third.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     tried = tried.unionByName(verified(third, "jaccard-tried-3"))
     labels = labelled(tried)
