@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from strandline.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from strandline.llm.jaccard_join import op1_jaccard_join
+from strandline.llm.packing import op6_best_fit_packing
 from strandline.llm.ppm import op2_ppm_scores
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_ppm_scores": op2_ppm_scores,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
