@@ -6,14 +6,17 @@ from strandline.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from strandline.llm.jaccard_join import op1_jaccard_join
 from strandline.llm.packing import op6_best_fit_packing
 from strandline.llm.ppm import op2_ppm_scores
+from strandline.llm.warc import OP8_SQL, op8_warc_segments
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_ppm_scores": op2_ppm_scores,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_warc_segments": op8_warc_segments,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 SQL = {
+    "op8_warc_segments": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
