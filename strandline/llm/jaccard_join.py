@@ -59,7 +59,9 @@ SMALL_K = 5
 FLUSH = 3_000_000
 PER_BUCKET = 1_500_000
 #: Sets of one group compared in one task; larger groups are dealt in blocks of about this size.
-BLOCK = 2048
+BLOCK = 1024
+#: Firsts that a set carries to decide under which of them a pair is returned.
+FEW = 8
 #: Hash cells whose member counts tell most unlinked pairs apart before whole sets are read.
 CELLS = 256
 
@@ -308,7 +310,8 @@ def _near(num: int, den: int):
 def _apart(num: int, den: int):
     """Pairs of one block, or of two, in different components and not ruled out by sizes and cells.
 
-    A pair with several firsts in common is returned under the smallest only.
+    Each set brings the smallest ``FEW`` of its firsts. A pair that has some of
+    these in common is returned under the smallest of them only.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -318,9 +321,9 @@ def _apart(num: int, den: int):
         firsts = table.column("firsts").to_pylist()
         firsts = [set(firsts[i]) for i in order]
         here = table.column("first")[0].as_py()
-        x, y = (table.column(c)[0].as_py() for c in "xy")
-        two = x != y
-        half = int(np.searchsorted(mine, x, "right"))
+        x_block, y_block = (table.column(c)[0].as_py() for c in "xy")
+        two = x_block != y_block
+        half = int(np.searchsorted(mine, x_block, "right"))
         out_a, out_b = [], []
         for i in range(half if two else len(mine) - 1):
             rest = np.arange(half if two else i + 1, len(mine))
@@ -329,10 +332,32 @@ def _apart(num: int, den: int):
                 continue
             apart = np.abs(cells[rest] - cells[i]).sum(1, dtype=np.int32)
             for j in rest[(num + den) * apart <= (den - num) * (n[rest] + n[i])].tolist():
-                if min(firsts[i] & firsts[j]) == here:
+                both = firsts[i] & firsts[j]
+                if not both or min(both) == here:
                     out_a.append(max(node[i], node[j]))
                     out_b.append(min(node[i], node[j]))
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+        same = lambda v: pa.array(np.full(len(out_a), v, np.int64))
+        return pa.table({"first": same(here), "x": same(x_block), "y": same(y_block), "a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return run
+
+
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def _verify_block(num: int, den: int):
+    """Checks the pairs of a block on whole sets, each of which comes once."""
+
+    def run(pairs: pa.Table, ends: pa.Table) -> pa.Table:
+        sets = {n: np.frombuffer(m, U64) for n, m in zip(ends.column("node").to_pylist(), ends.column("members").to_pylist(), strict=True)}
+        linked = [_linked(sets[a], sets[b], num, den) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)]
+        return pa.table({"a": pairs.column("a"), "b": pairs.column("b"), "linked": pa.array(linked, pa.bool_())})
 
     return run
 
@@ -344,13 +369,7 @@ def _verify(num: int, den: int):
         for t in batches:
             linked = []
             for x, y in zip(t.column("ma"), t.column("mb"), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), U64) for z in (x, y))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                linked.append(den * both >= num * (len(x) + len(y) - both))
+                linked.append(_linked(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), num, den))
             yield pa.record_batch([t.column("a"), t.column("b"), pa.array(linked, pa.bool_())], schema=schema)
 
     return run
@@ -421,14 +440,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = met.join(labels, "node", "left").select("first", "node", F.coalesce("label", "node").alias("label"))
     mixed = held.groupBy("first").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
     held = shared_table(held.join(mixed.select("first", "m"), "first"), "jaccard-held")
-    firsts = held.groupBy("node").agg(F.collect_list("first").alias("firsts"))
+    few = held.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("first")), 1, FEW).alias("firsts"))
+    known = shared_table(cells.withColumnsRenamed({"members": "cells"}).join(few, "node"), "jaccard-known")
     blocks = F.ceil(F.col("m") / BLOCK)
-    dealt = held.join(cells.withColumnsRenamed({"members": "cells"}), "node").join(firsts, "node").withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
+    dealt = held.join(known, "node").withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = dealt.select("first", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "label", "n", "cells", "firsts")
-    third = dealt.groupBy("first", "x", "y").applyInArrow(_apart(num, den), "a long, b long")
-    third = third.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    tried = tried.unionByName(verified(third, "jaccard-tried-3"))
+    block = ["first", "x", "y"]
+    near = shared_table(dealt.groupBy(*block).applyInArrow(_apart(num, den), "first long, x long, y long, a long, b long"), "jaccard-tried-3-near")
+    ends = shared_table(near.select(*block, F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-tried-3-nodes")
+    sets = contents(ends.select("node").distinct(), bytes).select("node", "members")
+    third = near.groupBy(*block).cogroup(ends.join(sets, "node").groupBy(*block)).applyInArrow(_verify_block(num, den), "a long, b long, linked boolean")
+    tried = tried.unionByName(shared_table(third, "jaccard-tried-3"))
     labels = labelled(tried)
 
     joined = classes.join(labels, "node", "left").select("node", "rep", "size", F.coalesce("label", "node").alias("label"))
