@@ -19,8 +19,9 @@ own band and in that of the next:
 
 Signatures travel as sorted binary blobs, one per map batch and bucket, not as
 rows. A bucket finds the runs of equal signatures. Candidates are verified in three steps, each first by
-sizes and by member counts of 256 hash cells (a lower bound of the symmetric
-difference) and then, if these allow a link, on the whole sets: each set against that first set of a run with
+sizes and by member counts of 256 hash cells (their differences are a lower bound
+of the symmetric difference), then by finer cells, one for one or two members, and
+only if these allow a link on the whole sets: each set against that first set of a run with
 which it shares the most runs; then against the first of each run with which it is not yet connected;
 then the remaining pairs under one first whose ends are still in different components,
 in blocks of bounded size.
@@ -273,6 +274,25 @@ def _cells(x: np.ndarray) -> bytes:
     return np.minimum(np.bincount((mix(x) >> U64(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
+def _fine(x: np.ndarray) -> bytes:
+    """Like ``_cells`` with a power of two of cells, one for each one or two members."""
+    bits = min(16, max(8, (len(x) // 2).bit_length()))
+    return np.minimum(np.bincount((mix(x) >> U64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _apart_by(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference from two strings of cell counts; more cells fold to fewer."""
+    a, b = (np.frombuffer(z, np.uint8).astype(np.int32) for z in (x, y))
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) > len(a):
+        if b.max() == 255:
+            return 0  # a cell that counts no further: no bound
+        b = b.reshape(len(a), -1).sum(1)
+        b = np.minimum(b, 255)
+    return int(np.abs(a - b).sum())
+
+
 def _contents(describe):
     """(node, size, ``describe(members)``) of every text with shingles."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("members", pa.binary())])
@@ -307,6 +327,18 @@ def _near(num: int, den: int):
     return run
 
 
+def _nearer(num: int, den: int):
+    """Keeps pairs that finer cells don't rule out either."""
+
+    def run(batches):
+        for t in batches:
+            na, nb = (t.column(c).to_numpy() for c in ("na", "nb"))
+            apart = np.array([_apart_by(x, y) for x, y in zip(t.column("ma").to_pylist(), t.column("mb").to_pylist(), strict=True)], np.int64)
+            yield t.select(["a", "b"]).filter(pa.array((num + den) * apart <= (den - num) * (na + nb), pa.bool_()))
+
+    return run
+
+
 def _apart(num: int, den: int):
     """Pairs of one block, or of two, in different components and not ruled out by sizes and cells.
 
@@ -351,6 +383,20 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
+def _nearer_block(num: int, den: int):
+    """Keeps the pairs of a block that finer cells don't rule out; each set's cells come once."""
+
+    def run(pairs: pa.Table, ends: pa.Table) -> pa.Table:
+        of = {n: (size, m) for n, size, m in zip(*(ends.column(c).to_pylist() for c in ("node", "n", "members")), strict=True)}
+        ok = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            (na, x), (nb, y) = of[a], of[b]
+            ok.append((num + den) * _apart_by(x, y) <= (den - num) * (na + nb))
+        return pairs.filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
 def _verify_block(num: int, den: int):
     """Checks the pairs of a block on whole sets, each of which comes once."""
 
@@ -409,10 +455,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             .mapInArrow(_near(num, den), "a long, b long")
         )
         near = shared_table(near, f"{name}-near")
-        nodes = shared_table(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
-        sets = shared_table(contents(nodes, bytes), f"{name}-sets").select("node", "members")
-        whole = near.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
-        return shared_table(whole.mapInArrow(_verify(num, den), "a long, b long, linked boolean"), name)
+
+        def described(pairs: DataFrame, describe) -> DataFrame:
+            nodes = shared_table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
+            of = shared_table(contents(nodes, describe), f"{name}-sets")
+            return pairs.join(of.toDF("a", "na", "ma"), "a").join(of.toDF("b", "nb", "mb"), "b").select("a", "b", "na", "nb", "ma", "mb")
+
+        nearer = shared_table(described(near, _fine).mapInArrow(_nearer(num, den), "a long, b long"), f"{name}-nearer")
+        return shared_table(described(nearer, bytes).mapInArrow(_verify(num, den), "a long, b long, linked boolean"), name)
 
     def labelled(links: DataFrame) -> DataFrame:
         return components(links.filter("linked"))
@@ -448,10 +498,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = dealt.select("first", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "label", "n", "cells", "firsts")
     block = ["first", "x", "y"]
     near = shared_table(dealt.groupBy(*block).applyInArrow(_apart(num, den), "first long, x long, y long, a long, b long"), "jaccard-tried-3-near")
-    ends = shared_table(near.select(*block, F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-tried-3-nodes")
-    sets = contents(ends.select("node").distinct(), bytes).select("node", "members")
-    third = near.groupBy(*block).cogroup(ends.join(sets, "node").groupBy(*block)).applyInArrow(_verify_block(num, den), "a long, b long, linked boolean")
-    tried = tried.unionByName(shared_table(third, "jaccard-tried-3"))
+
+    def checked(pairs: DataFrame, describe, check, kind: str, name: str) -> DataFrame:
+        """Pairs of a block checked against descriptions of their ends, which come once a block."""
+        ends = shared_table(pairs.select(*block, F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
+        of = contents(ends.select("node").distinct(), describe)
+        return shared_table(pairs.groupBy(*block).cogroup(ends.join(of, "node").groupBy(*block)).applyInArrow(check, kind), name)
+
+    nearer = checked(near, _fine, _nearer_block(num, den), "first long, x long, y long, a long, b long", "jaccard-tried-3-nearer")
+    third = checked(nearer, bytes, _verify_block(num, den), "a long, b long, linked boolean", "jaccard-tried-3")
+    tried = tried.unionByName(third)
     labels = labelled(tried)
 
     joined = classes.join(labels, "node", "left").select("node", "rep", "size", F.coalesce("label", "node").alias("label"))
