@@ -6,8 +6,8 @@ payload. A response block longer than ``SEGMENT_BYTES`` is cut: the first segmen
 is the response record (WARC-Segment-Number 1), the rest are ``continuation``
 records that name it in WARC-Segment-Origin-ID; the last carries
 WARC-Segment-Total-Length. Segments may end anywhere, within a chunk header or a
-character too. Archives are written with Spark's text sink, one record a row and
-CRLF between rows, so they land on any file system that Spark writes to.
+character too. Archives are gzip files written with Spark's text sink, one record a
+row and CRLF between rows, so they land on any file system that Spark writes to.
 
 Reading: archives are parsed by Content-Length only. Segments are grouped by
 origin, ordered by segment number and verified: numbers run from one without a
@@ -27,6 +27,7 @@ line breaks: these become spaces. An empty table writes and reads nothing.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -158,7 +159,7 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", segme
             yield pa.record_batch([pa.array(out, pa.binary())], schema=schema)
 
     lines = todo.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    lines.write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    lines.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 _PARTS = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("row", pa.string()), ("refers_row", pa.string()), ("digest", pa.string()), ("length", pa.int64()), ("block", pa.binary())])
@@ -169,7 +170,8 @@ def _parts(batches):
     for t in batches:
         for content in t.column("content"):
             rows, held = [], 0
-            for h, block in parse(content.as_buffer().to_pybytes()):
+            data = content.as_buffer().to_pybytes()
+            for h, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                 kind = h["warc-type"]
                 if kind not in ("response", "revisit", "continuation", "resource"):
                     continue
