@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from strandline.plans import retrieval
 
+_MODULES = [retrieval]
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+
+def flagship(spark, sf_dir: str):
+    """Lexical, dense and label legs fused by intent-weighted reciprocal ranks."""
+    return retrieval.rrf_intent_weighted(spark, sf_dir)
