@@ -398,12 +398,29 @@ def _nearer_block(num: int, den: int):
 
 
 def _verify_block(num: int, den: int):
-    """Checks the pairs of a block on whole sets, each of which comes once."""
+    """Links between the pairs of a block, on whole sets, each of which comes once.
+
+    A pair whose ends the links found so far connect already needs no check; so a
+    block returns fewer links than it has sets, and the components are the same.
+    """
 
     def run(pairs: pa.Table, ends: pa.Table) -> pa.Table:
         sets = {n: np.frombuffer(m, U64) for n, m in zip(ends.column("node").to_pylist(), ends.column("members").to_pylist(), strict=True)}
-        linked = [_linked(sets[a], sets[b], num, den) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)]
-        return pa.table({"a": pairs.column("a"), "b": pairs.column("b"), "linked": pa.array(linked, pa.bool_())})
+        root = {n: n for n in sets}
+
+        def find(n: int) -> int:
+            while root[n] != n:
+                root[n] = n = root[root[n]]
+            return n
+
+        links = []
+        for a, b in sorted(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)):
+            x, y = find(a), find(b)
+            if x != y and _linked(sets[a], sets[b], num, den):
+                root[x] = y
+                links.append((a, b))
+        a, b = (pa.array([x[i] for x in links], pa.int64()) for i in (0, 1))
+        return pa.table({"a": a, "b": b, "linked": pa.array([True] * len(links), pa.bool_())})
 
     return run
 
