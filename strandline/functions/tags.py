@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.vocab import EQUIPMENT_CLASSES, ISA_FIRST, ISA_SUCCEEDING, MERGE_THRESHOLD, REVIEW_THRESHOLD, SEGMENT_WORDS
@@ -53,9 +53,19 @@ def instrument_function(letters: Column) -> Column:
     return F.when(ok, F.concat_ws(" ", F.concat(F.array(first), short)))
 
 
-def parse(c: Column) -> Column:
-    """struct(normalised, compact, kind, unit, cls, seq, suffix, system): line, then KKS, instrument, equipment, else unparsed."""
-    norm = normalise(c)
+def once(rows: DataFrame, c: Column, name: str) -> DataFrame:
+    """``rows`` with a column that is worked out once a row, however often later expressions use it."""
+    return rows.select("*", F.explode(F.array(c)).alias(name))
+
+
+def with_tag(rows: DataFrame, surface: str, name: str = "tag") -> DataFrame:
+    """``rows`` with the parsed tag of a column."""
+    norm = f"_{name}_norm"
+    return once(once(rows, normalise(F.col(surface)), norm), parse(F.col(norm)), name).drop(norm)
+
+
+def parse(norm: Column) -> Column:
+    """struct(normalised, compact, kind, unit, cls, seq, suffix, system) of a normalised tag: line, then KKS, instrument, equipment, else unparsed."""
     comp = F.replace(norm, F.lit("-"))
     at = lambda pattern, g: F.regexp_extract(comp, pattern, g)
     none = F.lit(None).cast("string")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandline.plans import records, retrieval
+from strandline.plans import grammar, records, retrieval
 
-_MODULES = [retrieval, records]
+_MODULES = [retrieval, records, grammar]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
 
