@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from strandline.functions.vocab import EQUIPMENT_CLASSES, ISA_FIRST, ISA_SUCCEEDING, MERGE_THRESHOLD, REVIEW_THRESHOLD, SEGMENT_WORDS
 
@@ -21,7 +22,7 @@ EQUIPMENT = [
 ]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no built-in for it."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -103,7 +104,7 @@ def blocking_key(tag: Column) -> Column:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Winkler's similarity (prefix weight 0.1, up to four characters, from 0.7 on)."""
     return pd.Series([_jaro_winkler(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -10,6 +10,7 @@ from strandline.operators import documents as D
 from strandline.operators import geometry as X
 from strandline.operators import value_model as V
 from strandline.plans.tables import table
+from strandline.runtime import shared_table
 from strandline.streaming import queries as S
 
 _TAGS = [
@@ -56,8 +57,11 @@ _PAIRS = [
 
 
 def tag_pair_decision(spark, sf):
-    t = T.with_tag(T.with_tag(spark.createDataFrame([p[:2] for p in _PAIRS], "a string, b string"), "a", "ta"), "b", "tb")
-    t = T.once(t, T.score_pair(F.col("ta"), F.col("tb")), "m")
+    pairs = spark.createDataFrame([p[:2] for p in _PAIRS], "a string, b string")
+    surfaces = pairs.select(F.explode(F.array("a", "b")).alias("surface")).distinct()
+    known = shared_table(T.with_tag(surfaces, "surface"), "tags")  # each surface is parsed once
+    t = pairs.join(known.toDF("a", "ta"), "a").join(known.toDF("b", "tb"), "b")
+    t = t.withColumn("m", T.score_pair(F.col("ta"), F.col("tb")))
     return t.select("a", "b", "m.relation", "m.score", T.decide(F.col("m")).alias("action"))
 
 
