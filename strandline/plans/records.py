@@ -78,11 +78,11 @@ def downtime_summary(spark, sf):
     rows = table(spark, sf, "orders").select("o_custkey", (F.col("o_orderpriority") == F.lit("1-URGENT")).alias("corrective"), "o_totalprice")
     g = rows.groupBy("o_custkey").agg(F.count_if("corrective").alias("n"), F.sum(F.when(F.col("corrective"), F.col("o_totalprice"))).alias("a"), F.sum("o_totalprice").alias("b"), F.count(F.lit(1)).alias("m"))
     some = F.col("n") > 0
-    return g.select("o_custkey", F.round(F.when(some, F.col("a")).otherwise(F.col("b")), 2).alias("total"), F.round(F.when(some, F.col("a") / F.col("n")).otherwise(F.col("b") / F.col("m")), 2).alias("mean"))
+    return g.select("o_custkey", F.round(F.when(some, F.col("a")).otherwise(F.col("b")), 2).alias("total"), F.round(F.when(some, F.col("a") / F.col("n")).otherwise(F.col("b") / F.col("m")), 6).alias("mean"))
 
 
 downtime_summary.sql = """SELECT o_custkey, round(CASE WHEN count(*) FILTER (c) > 0 THEN sum(p) FILTER (c) ELSE sum(p) END, 2) AS total,
-  round(CASE WHEN count(*) FILTER (c) > 0 THEN avg(p) FILTER (c) ELSE avg(p) END, 2) AS mean FROM (SELECT o_custkey, o_orderpriority = '1-URGENT' AS c, o_totalprice AS p FROM orders) GROUP BY 1"""
+  round(CASE WHEN count(*) FILTER (c) > 0 THEN avg(p) FILTER (c) ELSE avg(p) END, 6) AS mean FROM (SELECT o_custkey, o_orderpriority = '1-URGENT' AS c, o_totalprice AS p FROM orders) GROUP BY 1"""
 
 
 def _causes(spark, sf):
