@@ -128,16 +128,13 @@ cause_share_confidence.sql = f"""{_CAUSE_SQL}, l AS (SELECT o_custkey, sum(score
   SELECT o_custkey, round(least(0.95, lead.score / total * CASE WHEN lead.own = 0 THEN 0.7::DOUBLE ELSE 1.0 END * CASE WHEN lead.refs < 2 THEN 0.6::DOUBLE ELSE 1.0 END), 6) AS confidence FROM l"""
 
 
-def _nullable_suppliers(spark, sf):
-    return table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey") % 2).alias("place"))
-
-
 def sibling_null_safe(spark, sf):
-    return R.siblings(_nullable_suppliers(spark, sf), "s_suppkey", ["s_nationkey", "place"])
+    place = F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey") % 2).alias("place")
+    return R.siblings(table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", place), "c_custkey", ["c_nationkey", "c_mktsegment", "place"])
 
 
-sibling_null_safe.sql = """WITH s AS (SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey % 2 END AS place FROM supplier)
-  SELECT a.s_suppkey AS id, b.s_suppkey AS sibling FROM s a JOIN s b ON a.s_nationkey IS NOT DISTINCT FROM b.s_nationkey AND a.place IS NOT DISTINCT FROM b.place AND a.s_suppkey <> b.s_suppkey"""
+sibling_null_safe.sql = """WITH s AS (SELECT c_custkey, c_nationkey, c_mktsegment, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 2 END AS place FROM customer)
+  SELECT a.c_custkey AS id, b.c_custkey AS sibling FROM s a JOIN s b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.place IS NOT DISTINCT FROM b.place AND a.c_custkey <> b.c_custkey"""
 
 
 def sibling_history_union(spark, sf):
@@ -348,10 +345,12 @@ dedup_outstanding.sql = """WITH a AS (SELECT user_id, max(ts) AS ack FROM events
 
 
 def unembedded_left_anti(spark, sf):
-    return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+    """Texts without a vector of one model; the label stands for the model."""
+    have = table(spark, sf, "embeddings").filter("label = 1").select(F.col("vec_id").alias("doc_id"))
+    return table(spark, sf, "documents").select("doc_id").join(have, "doc_id", "left_anti")
 
 
-unembedded_left_anti.sql = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"
+unembedded_left_anti.sql = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 1)"
 
 
 def worst_state_rollup(spark, sf):
