@@ -87,7 +87,7 @@ downtime_summary.sql = """SELECT o_custkey, round(CASE WHEN count(*) FILTER (c)
 
 def _causes(spark, sf):
     """Evidence rows: mechanism, asset, kind, own or sibling, years ago, reference."""
-    o = table(spark, sf, "orders").filter("o_custkey <= 50")
+    o = table(spark, sf, "orders")
     kind = F.when(F.col("o_orderpriority").startswith("1"), "incident").when(F.col("o_orderpriority").startswith("2"), "work_order").otherwise("inspection")
     years = F.greatest(F.lit(0.0), F.datediff(F.lit(TODAY).cast("date"), F.to_date("o_orderdate")) / 365.25)
     return o.select("o_custkey", F.col("o_orderstatus").alias("mechanism"), kind.alias("kind"), (F.col("o_orderkey") % 3 == 0).alias("sibling"), years.alias("years"), "o_orderkey")
@@ -109,7 +109,7 @@ def cause_ranking_decay(spark, sf):
 
 
 _CAUSE_SQL = f"""WITH e AS (SELECT o_custkey, o_orderstatus AS mechanism, CASE WHEN o_orderpriority LIKE '1%' THEN 'incident' WHEN o_orderpriority LIKE '2%' THEN 'work_order' ELSE 'inspection' END AS kind,
-  o_orderkey % 3 = 0 AS sibling, greatest(0.0, (DATE '{TODAY}' - CAST(o_orderdate AS DATE)) / 365.25) AS years, o_orderkey FROM orders WHERE o_custkey <= 50),
+  o_orderkey % 3 = 0 AS sibling, greatest(0.0, (DATE '{TODAY}' - CAST(o_orderdate AS DATE)) / 365.25) AS years, o_orderkey FROM orders),
  g AS (SELECT o_custkey, mechanism, sum(CASE kind WHEN 'incident' THEN 1.0 WHEN 'work_order' THEN 0.7 ELSE 0.5 END::DOUBLE * CASE WHEN sibling THEN 0.6 ELSE 1.0 END::DOUBLE * pow(0.5, years / 5.0)) AS base,
   count(DISTINCT o_orderkey) AS refs, count(DISTINCT kind) AS kinds, count(*) FILTER (NOT sibling) AS own FROM e GROUP BY 1, 2),
  s AS (SELECT *, base * (1 + 0.25::DOUBLE * (refs - 1)) * CASE WHEN kinds > 1 THEN 1.15::DOUBLE ELSE 1.0 END AS score FROM g)"""
@@ -138,13 +138,13 @@ sibling_null_safe.sql = """WITH s AS (SELECT c_custkey, c_nationkey, c_mktsegmen
 
 
 def sibling_history_union(spark, sf):
-    o = table(spark, sf, "orders").filter("o_custkey <= 20").select(F.lit("incident").alias("kind"), F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("on"), F.col("o_totalprice").alias("cost"))
-    li = table(spark, sf, "lineitem").filter("l_partkey <= 20").select(F.lit("work_order").alias("kind"), F.col("l_orderkey").alias("id"), F.to_date("l_shipdate").alias("on"), "l_linenumber")
+    o = table(spark, sf, "orders").select(F.lit("incident").alias("kind"), F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("on"), F.col("o_totalprice").alias("cost"))
+    li = table(spark, sf, "lineitem").select(F.lit("work_order").alias("kind"), F.col("l_orderkey").alias("id"), F.to_date("l_shipdate").alias("on"), "l_linenumber")
     return o.unionByName(li, allowMissingColumns=True)
 
 
-sibling_history_union.sql = """SELECT 'incident' AS kind, o_orderkey AS id, CAST(o_orderdate AS DATE) AS "on", o_totalprice AS cost, NULL::INTEGER AS l_linenumber FROM orders WHERE o_custkey <= 20
-  UNION ALL SELECT 'work_order', l_orderkey, CAST(l_shipdate AS DATE), NULL, l_linenumber FROM lineitem WHERE l_partkey <= 20"""
+sibling_history_union.sql = """SELECT 'incident' AS kind, o_orderkey AS id, CAST(o_orderdate AS DATE) AS "on", o_totalprice AS cost, NULL::INTEGER AS l_linenumber FROM orders
+  UNION ALL SELECT 'work_order', l_orderkey, CAST(l_shipdate AS DATE), NULL, l_linenumber FROM lineitem"""
 
 
 def timeline_nulls_last(spark, sf):
@@ -187,11 +187,11 @@ revision_conflict.sql = """WITH o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_
 
 
 def adjacent_level_pairs(spark, sf):
-    levels = R.revision_levels(table(spark, sf, "orders").filter("o_custkey <= 60"), "o_custkey", [F.to_date("o_orderdate")])
+    levels = R.revision_levels(table(spark, sf, "orders"), "o_custkey", [F.to_date("o_orderdate")])
     return G.adjacent_pairs(levels.select("o_custkey", "o_orderkey", "level"), "o_custkey", "o_orderkey")
 
 
-adjacent_level_pairs.sql = """WITH l AS (SELECT o_custkey, o_orderkey, dense_rank() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE)) AS level FROM orders WHERE o_custkey <= 60)
+adjacent_level_pairs.sql = """WITH l AS (SELECT o_custkey, o_orderkey, dense_rank() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE)) AS level FROM orders)
   SELECT a.o_custkey, a.o_orderkey AS newer, b.o_orderkey AS older FROM l a JOIN l b ON a.o_custkey = b.o_custkey AND a.level = b.level + 1"""
 
 
@@ -251,11 +251,11 @@ def stale_after_change(spark, sf):
     """Lines shipped before a change of their order date by more than a year, grouped with the newest change."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("changed"))
     newer = o.select(F.col("o_custkey").alias("c"), F.col("changed").alias("later"), F.col("o_orderkey").alias("by"))
-    hit = o.filter("o_custkey <= 30").join(newer, (F.col("o_custkey") == F.col("c")) & (F.col("changed") < F.col("later")))
+    hit = o.join(newer, (F.col("o_custkey") == F.col("c")) & (F.col("changed") < F.col("later")))
     return hit.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("changes"), F.max("later").alias("newest"))
 
 
-stale_after_change.sql = """SELECT a.o_orderkey, count(*) AS changes, max(CAST(b.o_orderdate AS DATE)) AS newest FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND CAST(a.o_orderdate AS DATE) < CAST(b.o_orderdate AS DATE) WHERE a.o_custkey <= 30 GROUP BY 1"""
+stale_after_change.sql = """SELECT a.o_orderkey, count(*) AS changes, max(CAST(b.o_orderdate AS DATE)) AS newest FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND CAST(a.o_orderdate AS DATE) < CAST(b.o_orderdate AS DATE) GROUP BY 1"""
 
 
 def applicable_first_asset(spark, sf):
@@ -308,29 +308,29 @@ anchor_found_missing.sql = "SELECT w AS s_suppkey, w IN (SELECT s_suppkey FROM s
 
 def route_ranked_evidence(spark, sf):
     """Two routes to the same evidence: the better route and the most mentions win; then a total order, cut at 30 an anchor."""
-    direct = table(spark, sf, "lineitem").filter("l_suppkey <= 5").groupBy("l_suppkey", "l_orderkey").agg(F.count(F.lit(1)).alias("mentions")).select("l_suppkey", "l_orderkey", F.lit(0).alias("route"), "mentions")
-    parts = table(spark, sf, "lineitem").filter("l_suppkey <= 5").select("l_suppkey", "l_partkey").distinct()
+    direct = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.count(F.lit(1)).alias("mentions")).select("l_suppkey", "l_orderkey", F.lit(0).alias("route"), "mentions")
+    parts = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
     via = parts.join(table(spark, sf, "lineitem").select("l_partkey", "l_orderkey"), "l_partkey").groupBy("l_suppkey", "l_orderkey").agg(F.count(F.lit(1)).alias("mentions")).select("l_suppkey", "l_orderkey", F.lit(1).alias("route"), "mentions")
     g = direct.unionByName(via).groupBy("l_suppkey", "l_orderkey").agg(F.min("route").alias("route"), F.max("mentions").alias("mentions"))
     w = Window.partitionBy("l_suppkey").orderBy("route", F.desc("mentions"), "l_orderkey")
     return g.withColumn("place", F.row_number().over(w)).filter("place <= 30").select("l_suppkey", "l_orderkey", "route", "mentions")
 
 
-route_ranked_evidence.sql = """WITH d AS (SELECT l_suppkey, l_orderkey, 0 AS route, count(*) AS mentions FROM lineitem WHERE l_suppkey <= 5 GROUP BY 1, 2),
-  p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey <= 5), v AS (SELECT p.l_suppkey, l.l_orderkey, 1 AS route, count(*) AS mentions FROM p JOIN lineitem l USING (l_partkey) GROUP BY 1, 2),
+route_ranked_evidence.sql = """WITH d AS (SELECT l_suppkey, l_orderkey, 0 AS route, count(*) AS mentions FROM lineitem GROUP BY 1, 2),
+  p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), v AS (SELECT p.l_suppkey, l.l_orderkey, 1 AS route, count(*) AS mentions FROM p JOIN lineitem l USING (l_partkey) GROUP BY 1, 2),
   g AS (SELECT l_suppkey, l_orderkey, min(route) AS route, max(mentions) AS mentions FROM (SELECT * FROM d UNION ALL SELECT * FROM v) GROUP BY 1, 2)
   SELECT l_suppkey, l_orderkey, route, mentions FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY route, mentions DESC, l_orderkey) AS r FROM g) WHERE r <= 30"""
 
 
 def open_actions_chain(spark, sf):
     """Open actions of an asset and its siblings: asset, event, action, distinct."""
-    c = table(spark, sf, "customer").filter("c_nationkey = 3").select("c_custkey")
+    c = table(spark, sf, "customer").select("c_custkey")
     o = table(spark, sf, "orders").filter("o_orderstatus <> 'F'").select("o_custkey", "o_orderkey")
     li = table(spark, sf, "lineitem").filter("coalesce(upper(trim(l_linestatus)), '') <> 'F'").select("l_orderkey", "l_suppkey")
     return c.join(o, F.col("c_custkey") == F.col("o_custkey")).join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("c_custkey", "o_orderkey", "l_suppkey").distinct()
 
 
-open_actions_chain.sql = """SELECT DISTINCT c_custkey, o_orderkey, l_suppkey FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey WHERE c_nationkey = 3 AND o_orderstatus <> 'F' AND coalesce(upper(trim(l_linestatus)), '') <> 'F'"""
+open_actions_chain.sql = """SELECT DISTINCT c_custkey, o_orderkey, l_suppkey FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'F' AND coalesce(upper(trim(l_linestatus)), '') <> 'F'"""
 
 
 def dedup_outstanding(spark, sf):
@@ -432,13 +432,13 @@ as_of_join.sql = "SELECT l.event_id, l.user_id, r.value FROM (SELECT * FROM even
 
 
 def duplicate_upload_antijoin(spark, sf):
-    """Odd pages are uploads, even ones the store: uploads whose content is not stored yet, one a content."""
-    p = table(spark, sf, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("h"))
-    new = p.filter("page_id % 2 = 1").join(p.filter("page_id % 2 = 0").select("h").distinct(), "h", "left_anti")
-    return new.groupBy("h").agg(F.min("page_id").alias("page_id"))
+    """Conversation turns as uploads, documents as the store: contents not stored yet, one row a content."""
+    h = F.sha2(F.col("text").cast("binary"), 256).alias("h")
+    new = table(spark, sf, "conversations").select("conv_id", h).join(table(spark, sf, "documents").select(h).distinct(), "h", "left_anti")
+    return new.groupBy("h").agg(F.min("conv_id").alias("conv_id"))
 
 
-duplicate_upload_antijoin.sql = "SELECT sha256(html) AS h, min(page_id) AS page_id FROM pages WHERE page_id % 2 = 1 AND sha256(html) NOT IN (SELECT sha256(html) FROM pages WHERE page_id % 2 = 0) GROUP BY 1"
+duplicate_upload_antijoin.sql = "SELECT sha256(text) AS h, min(conv_id) AS conv_id FROM conversations WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents) GROUP BY 1"
 
 
 def precedent_similarity(spark, sf):

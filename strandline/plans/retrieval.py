@@ -148,7 +148,7 @@ def idf_weighted_relevance(spark, sf):
 def sentence_scoring(spark, sf):
     """Sentences by their overlap with the first question; deterministic top 20."""
     words = F.array(*(F.lit(t) for t in ["thand", "reing", "ention"]))
-    rows = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
     overlap = F.size(F.array_intersect(F.array_distinct(terms(F.col("sentence"))), words))
     scored = rows.withColumn("overlap", overlap).filter("overlap > 0").withColumn("score", 2 * F.col("overlap") / 3 + 0.6 * F.col("overlap") / F.sqrt(F.size(terms(F.col("sentence")))))
     return scored.orderBy(F.round("score", 9).desc(), "doc_id", "pos").limit(20).select("doc_id", F.round("score", 6).alias("score"), "sentence")

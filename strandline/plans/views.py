@@ -22,26 +22,26 @@ list_documents.sql = "SELECT doc_id, source, n_chars, (SELECT count(*) FROM docu
 
 
 def document_lineage(spark, sf):
-    """Each order of some customers with its predecessor, its successor and the length of its series."""
-    o = table(spark, sf, "orders").filter("o_custkey <= 40").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"))
+    """Each order with its predecessor, its successor and the length of its series."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"))
     w = Window.partitionBy("o_custkey").orderBy("day", "o_orderkey")
     return o.select("o_orderkey", F.lag("o_orderkey").over(w).alias("predecessor"), F.lead("o_orderkey").over(w).alias("successor"), F.count(F.lit(1)).over(Window.partitionBy("o_custkey")).alias("series"))
 
 
 document_lineage.sql = """SELECT o_orderkey, lag(o_orderkey) OVER w AS predecessor, lead(o_orderkey) OVER w AS successor, count(*) OVER (PARTITION BY o_custkey) AS series
-  FROM orders WHERE o_custkey <= 40 WINDOW w AS (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey)"""
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey)"""
 
 
 def chunk_mentions(spark, sf):
-    """Lines of some orders with their part, kept where the part is gone, by place in the order."""
-    li = table(spark, sf, "lineitem").filter("l_orderkey <= 100").select("l_orderkey", "l_linenumber", "l_partkey")
+    """Lines of orders with their part, kept where the part is gone, by place in the order."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     parts = table(spark, sf, "part").filter("p_size > 20").select("p_partkey", "p_name")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     return li.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left").select("l_orderkey", F.row_number().over(w).cast("long").alias("place"), "l_partkey", "p_name")
 
 
 chunk_mentions.sql = """SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS place, l_partkey, p_name
-  FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 20) ON l_partkey = p_partkey WHERE l_orderkey <= 100"""
+  FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 20) ON l_partkey = p_partkey"""
 
 
 def list_notifications(spark, sf):
@@ -94,24 +94,24 @@ requirement_counts.sql = "SELECT p_brand, count(*) AS n, count(*) FILTER (p_size
 
 def node_merge(spark, sf):
     """Upsert of nodes: a new value wins where it is there, other values stay."""
-    old = table(spark, sf, "supplier").filter("s_suppkey <= 60").select("s_suppkey", F.col("s_name").alias("label"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).alias("place"))
-    new = table(spark, sf, "supplier").filter("s_suppkey between 5 and 80").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.lower("s_name")).alias("label"), F.lit(99).alias("place"))
+    old = table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("label"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).alias("place"))
+    new = table(spark, sf, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.lower("s_name")).alias("label"), F.when(F.col("s_suppkey") % 5 == 0, 99).alias("place"))
     return G.merge_nodes(old, new, "s_suppkey")
 
 
-node_merge.sql = """WITH o AS (SELECT s_suppkey, s_name AS label, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END AS place FROM supplier WHERE s_suppkey <= 60),
-  n AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN lower(s_name) END AS label, 99 AS place FROM supplier WHERE s_suppkey BETWEEN 5 AND 80)
+node_merge.sql = """WITH o AS (SELECT s_suppkey, s_name AS label, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END AS place FROM supplier),
+  n AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN lower(s_name) END AS label, CASE WHEN s_suppkey % 5 = 0 THEN 99 END AS place FROM supplier)
   SELECT coalesce(o.s_suppkey, n.s_suppkey) AS s_suppkey, coalesce(n.label, o.label) AS label, coalesce(n.place, o.place) AS place FROM o FULL JOIN n USING (s_suppkey)"""
 
 
 def edge_evidence(spark, sf):
     """Edges with their evidence ids exploded to passages; an id without a passage stays away."""
-    e = table(spark, sf, "labels").filter("doc_id < 200").select((F.col("doc_id") % 7).alias("edge"), F.array("doc_id", F.col("doc_id") + 100000).alias("evidence"))
+    e = table(spark, sf, "labels").select((F.col("doc_id") % 7).alias("edge"), F.array("doc_id", -F.col("doc_id") - 1).alias("evidence"))
     ids = e.select("edge", F.explode("evidence").alias("doc_id")).distinct()
     return ids.join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").groupBy("edge", "lang").agg(F.count(F.lit(1)).alias("passages"))
 
 
-edge_evidence.sql = "SELECT l.doc_id % 7 AS edge, lang, count(DISTINCT l.doc_id) AS passages FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.doc_id < 200 GROUP BY 1, 2"
+edge_evidence.sql = "SELECT l.doc_id % 7 AS edge, lang, count(DISTINCT l.doc_id) AS passages FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY 1, 2"
 
 
 def conflict_series(spark, sf):
@@ -126,11 +126,11 @@ conflict_series.sql = "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORD
 
 def best_candidate(spark, sf):
     """The best scored candidate of each mention; the first by name among equals."""
-    li = table(spark, sf, "lineitem").filter("l_orderkey <= 400").select("l_orderkey", "l_partkey", F.round("l_discount", 2).alias("score"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", F.round("l_discount", 2).alias("score"))
     return R.best_per_key(li, ["l_orderkey"], [F.col("score").desc(), F.col("l_partkey")])
 
 
-best_candidate.sql = "SELECT DISTINCT ON (l_orderkey) l_orderkey, l_partkey, round(l_discount, 2) AS score FROM lineitem WHERE l_orderkey <= 400 ORDER BY l_orderkey, round(l_discount, 2) DESC, l_partkey"
+best_candidate.sql = "SELECT DISTINCT ON (l_orderkey) l_orderkey, l_partkey, round(l_discount, 2) AS score FROM lineitem ORDER BY l_orderkey, round(l_discount, 2) DESC, l_partkey"
 
 _HERE = [v for v in list(globals().values()) if callable(v) and getattr(v, "__module__", "") == __name__ and hasattr(v, "sql")]
 QUERIES = {f.__name__: f for f in _HERE}
