@@ -16,6 +16,15 @@ symbols. Because the trained trie does not change, norms and escapes under
 exclusion are worked out once a worker, and a byte costs one or a few lookups. Adaptive mode starts each text
 with an empty trie and learns as it reads; nothing is shared between texts.
 
+Whole mode, which the query uses, counts the same and keeps order five at every
+size. A trie of more than ``MAX_GRAMS`` pairs is cut into blocks by the last two
+bytes of the context. A context and its suffixes of two bytes or more share a
+block; the pairs of order one and zero go with every block. Each block is
+broadcast by itself and scores, in a pass over the texts, the symbols whose
+contexts it owns; the parts of a text are added by its key. Scores are those of
+the uncut trie. Two bytes that alone stand before more than ``MAX_GRAMS`` pairs
+are a block of their own.
+
 The unigram base needs the count of every word of the corpus. Words travel as
 binary blobs by bucket of the word's hash: each map batch sends a word once with
 the rows it occurs in. A bucket sums the counts and returns partial sums per
@@ -149,13 +158,16 @@ class Model:
     of the norm T + D and of the escape D / (T + D) of its own counts, and the
     same two of the counts of the next shorter context without the symbols seen
     here. Symbols seen in a context are also seen in all shorter ones, so those
-    are all the exclusions there are.
+    are all the exclusions there are. ``base`` has the keys and counts of order one
+    of the whole trie, if ``key`` is only a block of it.
     """
 
-    def __init__(self, order: int, key: np.ndarray, n: np.ndarray):
+    def __init__(self, order: int, key: np.ndarray, n: np.ndarray, base: tuple[np.ndarray, np.ndarray] | None = None):
         self.order, self.grams, self.contexts = order, [], []
         levels = []
         for k in range(order, -1, -1):
+            if base and k == 1:
+                key, n = base
             key, inverse = np.unique(key & ((1 << (8 * k + 9)) - 1), return_inverse=True)
             n = np.bincount(inverse, n, len(key))
             levels.append((key, n))
@@ -331,6 +343,42 @@ def _rebucket(buckets: int):
     return run
 
 
+def _suffix_sizes(batches):
+    """How many pairs a task's blobs have behind each two last bytes of the context."""
+    total = np.zeros(1 << 16, np.int64)
+    for t in batches:
+        for k in t.column("keys").to_pylist():
+            total += np.bincount(np.frombuffer(k, np.int64) >> 9 & 0xFFFF, minlength=1 << 16)
+    some = np.flatnonzero(total)
+    yield pa.record_batch({"suffix": pa.array(some.astype(np.int32)), "size": pa.array(total[some])})
+
+
+def _blocks(sizes: dict[int, int], most: int) -> tuple[np.ndarray, int]:
+    """The block of each suffix, and how many blocks: each has at most ``most`` pairs or is a single suffix."""
+    block, n, held = np.zeros(1 << 16, np.int32), 0, 0
+    for suffix, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        if held and held + size > most:
+            n, held = n + 1, 0
+        block[suffix] = n
+        held += size
+    return block, n + 1
+
+
+def _split_blocks(block: np.ndarray):
+    """Blobs cut by block."""
+
+    def run(batches):
+        for t in batches:
+            for k, n in zip(t.column("keys").to_pylist(), t.column("counts").to_pylist(), strict=True):
+                key, n = np.frombuffer(k, np.int64), np.frombuffer(n, np.int64)
+                to = block[key >> 9 & 0xFFFF]
+                for i in np.unique(to).tolist():
+                    at = to == i
+                    yield pa.record_batch([pa.array([i], pa.int32()), pa.array([key[at].tobytes()], pa.binary()), pa.array([n[at].tobytes()], pa.binary()), pa.array([int(at.sum())])], schema=_GRAMS)
+
+    return run
+
+
 _WORD_BLOBS = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), *((x, pa.binary()) for x in ("low", "high", "rows", "row", "tf", "text", "copies"))])
 
 
@@ -476,6 +524,60 @@ def _score(name: str, model, adaptive: bool):
     return run
 
 
+def _score_block(name: str, model, block: np.ndarray, number: int):
+    """Key and partial score of each text: the symbols behind contexts of one block."""
+
+    def run(batches):
+        if name not in _TABLES:
+            _TABLES.clear()
+            _TABLES[name] = Model(*model.value)
+        tables = _TABLES[name]
+        for t in batches:
+            for _, _, symbols, scored, start, hashes, firsts in sequences(t.column("text")):
+                context = contexts(symbols)
+                at = np.flatnonzero(scored & (block[context & 0xFFFF] == number))
+                lp = np.zeros(len(symbols))
+                lp[at] = tables.scores(context[at], symbols[at].astype(np.int64))
+                yield pa.record_batch({"key": pa.array(text_keys(hashes, firsts)), "part": pa.array(np.add.reduceat(lp, start[:-1]))})
+
+    return run
+
+
+def _count_tokens(batches):
+    """Row, key and number of tokens; the score comes from the blocks."""
+    for t in batches:
+        keys, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, _, _, _, _, hashes, firsts in sequences(t.column("text")):
+            keys.append(text_keys(hashes, firsts))
+            n.append(np.diff(firsts) + 1)
+        yield pa.record_batch({"doc_id": t.column("doc_id"), "train": t.column("train"), "key": pa.array(np.concatenate(keys)), "n_tokens": pa.array(np.concatenate(n))})
+
+
+def _numbers(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of all blobs."""
+    fits = counts.select("keys", "counts").toArrow()
+    return tuple(np.frombuffer(b"".join(fits.column(i).to_pylist()), np.int64) for i in (0, 1))
+
+
+def _block_scores(rows: DataFrame, counts: DataFrame, kind: str) -> DataFrame:
+    """(key, score) of every text by the trie of order ``ORDER``, one block of it in memory at a time."""
+    spark = rows.sparkSession
+    sizes = counts.mapInArrow(_suffix_sizes, "suffix int, size long").groupBy("suffix").agg(F.sum("size"))
+    block, n = _blocks(dict(map(tuple, sizes.collect())), MAX_GRAMS)
+    base = counts.mapInArrow(_shorten(1), kind).mapInArrow(_rebucket(GRAM_BUCKETS), kind).groupBy("bucket").applyInArrow(lambda t: _sum_grams(t), kind)
+    base = _numbers(base)
+    cut = shared_table(counts.mapInArrow(_split_blocks(block), kind), "ppm-blocks")
+    parts = None
+    for i in range(n):
+        model = spark.sparkContext.broadcast((ORDER, *_numbers(cut.filter(F.col("bucket") == i)), base))
+        part = rows.select("text").mapInArrow(_score_block(uuid.uuid4().hex, model, block, i), "key long, part double")
+        # Equal texts have equal parts.
+        part = shared_table(part.groupBy("key").agg(F.max("part").alias("part")), "ppm-part")
+        model.destroy()
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("key").agg(F.sum("part").alias("score"))
+
+
 def _fitting(counts: DataFrame, kind: str):
     """(order, keys, counts) of the highest order that has at most ``MAX_GRAMS`` pairs."""
     for order in range(ORDER, 0, -1):
@@ -490,25 +592,30 @@ def _fitting(counts: DataFrame, kind: str):
             )
         if order == 1 or (counts.agg(F.sum("size")).first()[0] or 0) <= MAX_GRAMS:
             break
-    fits = counts.select("keys", "counts").toArrow()
-    return (order, *(np.frombuffer(b"".join(fits.column(i).to_pylist()), np.int64) for i in (0, 1)))
+    return (order, *_numbers(counts))
 
 
 def ppm_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", mode: str = "pretrained") -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of every row.
 
-    ``train`` is a boolean column: the rows to learn from.
+    ``train`` is a boolean column: the rows to learn from. ``mode`` is pretrained, whole or adaptive.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    model, name = None, uuid.uuid4().hex
-    if mode == "pretrained":
+    model, name, by_block = None, uuid.uuid4().hex, None
+    if mode in ("pretrained", "whole"):
         kind = "bucket int, keys binary, counts binary, size long"
         counts = rows.select("train", "text").mapInArrow(_count_grams(GRAM_BUCKETS), kind).groupBy("bucket").applyInArrow(lambda t: _sum_grams(t), kind)
         counts = shared_table(counts, "ppm-grams")
-        model = spark.sparkContext.broadcast(_fitting(counts, kind))
-    scored = rows.mapInArrow(_score(name, model, mode != "pretrained"), "doc_id long, train boolean, key long, n_tokens long, score double")
+        if mode == "whole" and (counts.agg(F.sum("size")).first()[0] or 0) > MAX_GRAMS:
+            by_block = _block_scores(rows, counts, kind)
+        else:
+            model = spark.sparkContext.broadcast(_fitting(counts, kind))
+    if by_block is None:
+        scored = rows.mapInArrow(_score(name, model, mode == "adaptive"), "doc_id long, train boolean, key long, n_tokens long, score double")
+    else:
+        scored = rows.mapInArrow(_count_tokens, "doc_id long, train boolean, key long, n_tokens long")
     scored = shared_table(scored, "ppm-scored")
 
     size = scored.agg(F.sum("n_tokens"), F.count_if("train")).first()
@@ -522,7 +629,10 @@ def ppm_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "
     per_text = sums.groupBy("batch").applyInArrow(lambda t: _sum_texts(t), "key long, known long, logs double")
     per_text = per_text.groupBy("key").agg(F.max("known").alias("known"), F.max("logs").alias("logs"))
     copies = scored.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    per_text = shared_table(copies.join(per_text, "key", "left"), "ppm-texts")
+    per_text = copies.join(per_text, "key", "left")
+    if by_block is not None:
+        per_text = per_text.join(by_block, "key", "left")
+    per_text = shared_table(per_text, "ppm-texts")
     out = join_groups(scored, per_text, "key", "copies")
     norm, end_log = log10(n + 0.5 * (v + 1)), log10(ends + 0.5)
     return out.select(
@@ -537,5 +647,5 @@ def ppm_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "
 def op2_ppm_scores(spark, sf_dir: str) -> DataFrame:
     """PPM and unigram scores over the whole of ``documents``; rows with crc32(doc_id) mod 5 = 1 are held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = ppm_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
+    out = ppm_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1, mode="whole")
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

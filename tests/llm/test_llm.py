@@ -156,6 +156,21 @@ def test_lower_order_when_the_trie_is_too_large(spark, monkeypatch):
     assert low < ppm.ppm_scores(docs, F.lit(True)).agg(F.sum("score")).first()[0] < 0
 
 
+def test_whole_mode_keeps_the_order_when_the_trie_is_cut_into_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text number {i} of many \u00e4pfel") for i in range(30)] + [(30, None), (31, "qq zz"), (32, "text number 3 of many \u00e4pfel")], "doc_id long, text string")
+    train = F.col("doc_id") % 5 != 1
+    score = lambda: {r["doc_id"]: r["score"] for r in ppm.ppm_scores(docs, train, mode="whole").collect()}
+    want = score()
+    seen, blocks = [], ppm._blocks
+    monkeypatch.setattr(ppm, "MAX_GRAMS", 60)
+    monkeypatch.setattr(ppm, "_blocks", lambda *a: seen.append(blocks(*a)) or seen[-1])
+    got = score()
+    assert seen[0][1] > 2
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-6) for i in want)
+    monkeypatch.setattr(ppm, "ppm_scores", lambda *a, mode="pretrained", **b: docs.select("doc_id", F.lit(True).alias("train"), *(F.lit(mode).alias(x) for x in ("n_tokens", "n_known", "train_tokens", "base_score", "score"))))
+    assert ppm.op2_ppm_scores(spark, "/root/testdata/sf0.001").first()["score"] == "whole"
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(3)
     rows, labels = [], []
