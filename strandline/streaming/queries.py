@@ -15,7 +15,14 @@ from strandline.runtime import shared_path, ship
 
 
 def source(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Files of a folder as a stream; the checkpoint remembers which were read."""
+    """Files of a folder as a stream; the checkpoint remembers which were read.
+
+    A stored table may be a folder of part files or a single file, which is picked out of its folder by name.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(at) and files.getFileStatus(at).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
     folder, _, name = path.rstrip("/").rpartition("/")
     return spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") and "/" not in name else "*").parquet(folder)
 

@@ -41,6 +41,15 @@ def test_against_sql(spark, duck, name):
     assert len(got) > 0
 
 
+@pytest.mark.parametrize("name", ["stream_event_windows", "stream_alert_dedup", "stream_content_dedup"])
+def test_streams_read_tables_of_part_files(spark, tmp_path, name):
+    for t in ("events", "pages"):
+        spark.read.parquet(f"{SF_DIR}/{t}.parquet").repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
+    got, want = (catalogue.QUERIES[name](spark, d).toPandas() for d in (str(tmp_path), SF_DIR))
+    assert len(want) > 0
+    assert rows(got) == rows(want)
+
+
 def test_chunks_match_plain_fold(spark):
     from strandline.operators.documents import chunks, split_text
 
