@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from strandline.functions.vocab import (
     ANSWER_THRESHOLD, BM25_B, BM25_K1, CAVEAT_THRESHOLD, CONFIDENCE_WEIGHTS, DEFAULT_INTENT, GATE_CEILING, INTENT_RULES, INTENT_WEIGHTS, NO_GRAPH,
     RELEVANCE_FLOOR, RRF_K, SUB_QUESTION_DISCOUNT,
 )
+from strandline.runtime import shared_table, ship
 
 
 # -- lexical ------------------------------------------------------------------
@@ -100,6 +103,83 @@ def dense(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame,
     return top(scored, ["qid"], [F.col("score").desc(), F.col("id")], k)
 
 
+#: Vectors of one side that meet those of the other at once.
+VECTOR_BLOCK = 2048
+_BLOCK = "ids binary, groups binary, vectors binary, dim int"
+_NO_ID = np.iinfo(np.int64).min
+
+
+def _vector_blocks(batches):
+    """(ids, groups, unit vectors, dimension) by up to ``VECTOR_BLOCK`` rows of one dimension; what has no cosine is left out."""
+    for t in batches:
+        ids, groups = (t.column(i).fill_null(_NO_ID).to_numpy() for i in ("id", "g"))
+        by_dim = {}
+        for i, v in enumerate(t.column("v").to_pylist()):
+            if v and None not in v:
+                by_dim.setdefault(len(v), []).append((i, v))
+        for dim, some in by_dim.items():
+            at, v = np.array([i for i, _ in some]), np.array([v for _, v in some], np.float64)
+            norm = np.sqrt((v * v).sum(1))
+            at, v = at[norm != 0], v[norm != 0] / norm[norm != 0, None]
+            for a in range(0, len(at), VECTOR_BLOCK):
+                cut = slice(a, a + VECTOR_BLOCK)
+                yield pa.record_batch({"ids": pa.array([ids[at[cut]].tobytes()]), "groups": pa.array([groups[at[cut]].tobytes()]), "vectors": pa.array([v[cut].tobytes()]), "dim": pa.array([dim], pa.int32())})
+
+
+def _meet(answer):
+    """What ``answer`` makes of the cosines of each pair of blocks, by query."""
+
+    def run(batches):
+        for t in batches:
+            for r in t.to_pylist():
+                if r["dim"] != r["q_dim"]:
+                    continue
+                ids, groups, qids = (np.frombuffer(r[x], np.int64) for x in ("ids", "groups", "q_ids"))
+                v, q = (np.frombuffer(r[x], np.float64).reshape(-1, r["dim"]) for x in ("vectors", "q_vectors"))
+                scores = q @ v.T
+                for a in range(len(qids)):
+                    key, score = answer(ids, groups, scores[a])
+                    yield pa.record_batch({"qid": pa.array(np.full(len(key), qids[a])), "key": pa.array(key), "score": pa.array(score)})
+
+    return run
+
+
+def _meetings(vectors: DataFrame, id_col: str, vector_col: str, group: Column, queries: DataFrame, answer) -> DataFrame:
+    ship(vectors.sparkSession)
+    # Stored, since each block is read once for each of the other side's partitions.
+    kind = lambda rows: shared_table(rows.mapInArrow(_vector_blocks, _BLOCK), "vector-blocks")
+    all_ = kind(vectors.select(F.col(id_col).cast("long").alias("id"), group.cast("long").alias("g"), F.col(vector_col).alias("v")))
+    asked = kind(queries.select(F.col("qid").cast("long").alias("id"), F.lit(0).cast("long").alias("g"), F.col("vector").alias("v")))
+    # Dimensions are compared where blocks meet: a join on them would send everything to one task.
+    pairs = all_.crossJoin(asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("dim").alias("q_dim")))
+    out = pairs.mapInArrow(_meet(answer), "qid long, key long, score double")
+    return out.withColumn("key", F.when(F.col("key") != int(_NO_ID), F.col("key")))
+
+
+def dense_blocks(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: int) -> DataFrame:
+    """``dense`` for any number of queries: blocks of queries meet blocks of rows, and a meeting gives ``k`` rows a query at most."""
+
+    def best(ids, groups, score):
+        score = np.round(score, 9) + 0.0
+        first = np.lexsort((ids, -np.where(np.isnan(score), np.inf, score)))[:k]
+        return ids[first], score[first]
+
+    found = _meetings(vectors, id_col, vector_col, F.lit(0), queries, best).withColumnRenamed("key", "id")
+    return top(found, ["qid"], [F.col("score").desc(), F.col("id")], k)
+
+
+def best_per_group_blocks(vectors: DataFrame, id_col: str, vector_col: str, group_col: str, queries: DataFrame) -> DataFrame:
+    """(qid, group, best): the largest cosine of each query in each group, by blocks as in ``dense_blocks``."""
+
+    def best(ids, groups, score):
+        order = np.argsort(groups, kind="stable")
+        start = np.flatnonzero(np.diff(groups[order], prepend=groups[order[:1]] - 1))
+        return groups[order][start], np.maximum.reduceat(score[order], start)
+
+    found = _meetings(vectors, id_col, vector_col, F.col(group_col), queries, best).withColumnRenamed("key", group_col)
+    return found.groupBy("qid", group_col).agg(F.max("score").alias("best"))
+
+
 # -- fusion -------------------------------------------------------------------
 
 

@@ -81,6 +81,21 @@ def vector_best_per_group(spark, sf):
     return rows.groupBy("qid", "label").agg(F.round(F.max("c"), 6).alias("best"))
 
 
+def _all_queries(spark, sf):
+    return table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+
+
+def vector_topk_cosine_whole(spark, sf):
+    """Neighbours of every row whose id is divisible by 100, however many there are."""
+    out = R.dense_blocks(table(spark, sf, "embeddings"), "vec_id", "embedding", _all_queries(spark, sf), 25)
+    return out.select("qid", "id", F.round("score", 6).alias("score"))
+
+
+def vector_best_per_group_whole(spark, sf):
+    out = R.best_per_group_blocks(table(spark, sf, "embeddings"), "vec_id", "embedding", "label", _all_queries(spark, sf))
+    return out.select("qid", F.col("label").cast("int").alias("label"), F.round("best", 6).alias("best"))
+
+
 def _legs(spark, sf, k=50):
     """Lexical, dense and label legs for the questions; the first question's dense leg uses vector 1 and so on."""
     q = questions(spark)
@@ -199,7 +214,7 @@ def confidence_score(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_topk, bm25_doc_filter, lexical_corpus_stats, document_frequency_zero_filled, unknown_terms_antijoin, vector_topk_cosine, vector_best_per_group, rrf_fusion, rrf_intent_weighted,
+    bm25_topk, bm25_doc_filter, lexical_corpus_stats, document_frequency_zero_filled, unknown_terms_antijoin, vector_topk_cosine, vector_best_per_group, vector_topk_cosine_whole, vector_best_per_group_whole, rrf_fusion, rrf_intent_weighted,
     rrf_subquestion_discount, hydrate_ranked, idf_weighted_relevance, sentence_scoring, jaccard_overlap, verbatim_containment, intent_routing, confidence_score,
 )}
 
@@ -218,6 +233,10 @@ SQL = {
       (SELECT q.vec_id AS qid, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 3)) WHERE r <= 25""",
     "vector_best_per_group": """SELECT q.vec_id AS qid, e.label, round(max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6) AS best
       FROM embeddings e, embeddings q WHERE q.vec_id < 3 GROUP BY ALL""",
+    "vector_topk_cosine_whole": """SELECT qid, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM
+      (SELECT q.vec_id AS qid, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE r <= 25""",
+    "vector_best_per_group_whole": """SELECT q.vec_id AS qid, e.label, round(max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6) AS best
+      FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 GROUP BY ALL""",
     "rrf_fusion": f"{_LEGS_SQL}, weighted AS (SELECT *, 1.0::DOUBLE AS weight FROM legs), {_FUSE_SQL}",
     "rrf_intent_weighted": f"""{_LEGS_SQL}, weighted AS (SELECT *, CAST(CASE qid WHEN 1 THEN CASE leg WHEN 'lexical' THEN 1.5 WHEN 'dense' THEN 1.0 ELSE 0.6 END
       WHEN 2 THEN CASE leg WHEN 'lexical' THEN 0.8 WHEN 'dense' THEN 1.0 ELSE 1.5 END WHEN 3 THEN CASE leg WHEN 'lexical' THEN 0.6 WHEN 'dense' THEN 0.4 ELSE 1.8 END

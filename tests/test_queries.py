@@ -50,6 +50,21 @@ def test_streams_read_tables_of_part_files(spark, tmp_path, name):
     assert rows(got) == rows(want)
 
 
+def test_vector_queries_by_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from strandline.operators import retrieval as R
+
+    v = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").repartition(3)
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    odd = spark.sql("SELECT 9001L AS vec_id, array(1f, 2f) AS embedding, 1 AS label UNION ALL SELECT 9002, NULL, 1 UNION ALL SELECT 9003, array_repeat(0f, 64), 1")
+    monkeypatch.setattr(R, "VECTOR_BLOCK", 37)
+    both = v.unionByName(odd)
+    got = R.dense_blocks(both, "vec_id", "embedding", q, 25)
+    assert rows(got.toPandas()) == rows(R.dense(v, "vec_id", "embedding", q, 25).toPandas())
+    assert catalogue.QUERIES["vector_topk_cosine_whole"](spark, SF_DIR).select("qid").distinct().count() == q.count() > 3
+
+
 def test_chunks_match_plain_fold(spark):
     from strandline.operators.documents import chunks, split_text
 
