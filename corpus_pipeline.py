@@ -3,14 +3,26 @@
 Toxic documents go, one of each group of equal texts stays, one document of each
 near-duplicate component stays, documents that hold a benchmark item go, and the
 rest are packed into sequences.
+
+Decisions are taken on rows, not on ids: a row is told from all others by its place in
+the stored input, so a row that repeats a doc_id with a text of its own is judged by
+that text. Of equal texts the largest doc_id stays, of near copies the smallest; a null
+id only if the group has no other, and of rows equal in both the one with the smallest
+hash of its place in the input.
+
+Cases: null and empty texts are equal to each other, so one of all such rows passes the
+exact dedup; they are linked with nothing else, hold no item and are one token. Rows
+repeated whole leave one. An empty table passes every stage as an empty table. Columns
+of any name besides doc_id and text pass all filtering stages as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, toxicity
+from strandline.llm import bitmap, decontaminate, toxicity
 from strandline.llm.exact_dedup import exact_duplicates
 from strandline.llm.jaccard_join import jaccard_components
 from strandline.llm.packing import packed_documents
@@ -24,15 +36,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    out = exact_duplicates(docs).filter("not kept").select("doc_id")
-    return _without(docs, out)
+    """Of equal texts one row stays, that with the largest doc_id."""
+    docs, at = _placed(docs)
+    key = F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"), -at)
+    copies = exact_duplicates(docs.select(key.alias("id"), F.col("text").alias("text")), id_col="id")
+    return _without(docs, key, copies.filter("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked texts the row with the smallest doc_id stays."""
-    out = jaccard_components(docs).filter("doc_id <> component_id").select("doc_id")
-    return _without(docs, out)
+    """Of linked texts one row stays, that with the smallest doc_id."""
+    docs, at = _placed(docs)
+    key = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), at)
+    linked = jaccard_components(docs.select(key.alias("id"), F.col("text").alias("text")), id_col="id")
+    return _without(docs, key, linked.filter("doc_id <> component_id"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,18 +61,33 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packed_documents(docs)
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``dropped``.
+def _placed(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """``docs`` as a stored table, and a column that tells its rows apart by their place in it."""
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    if "_metadata" not in docs.columns:
+        try:
+            docs.select(place)
+            return docs, place
+        except AnalysisException:  # not read from files
+            pass
+    names = docs.columns
+    stored = shared_table(docs.toDF(*(f"c{i}" for i in range(len(names)))), "placed")
+    stored = stored.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n != "_metadata"), place.alias("_place"), *(F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n == "_metadata"))
+    return stored, F.col("_place")
+
+
+def _without(docs: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is not among the doc_id of ``dropped``.
 
     Only rows that a bitmap of fixed size can't clear take part in the join, so the
     texts that stay are hardly shuffled.
     """
-    from strandline.llm import bitmap
-
-    dropped = shared_table(dropped.distinct(), "dropped")
-    marked = bitmap.probe(docs, bitmap.build(dropped, "doc_id"), "doc_id", flag="_may_be_dropped")
-    unsure = marked.filter("_may_be_dropped").join(dropped, "doc_id", "left_anti")
-    return marked.filter("not _may_be_dropped").select(*docs.columns).unionByName(unsure.select(*docs.columns))
+    columns = [c for c in docs.columns if c != "_place"]
+    dropped = shared_table(dropped.select(F.col("doc_id").alias("key")), "dropped")
+    rows = docs.select(F.struct(*columns).alias("row"), key.alias("key"))
+    marked = bitmap.probe(rows, bitmap.build(dropped, "key"), "key")
+    unsure = marked.filter("_may").join(dropped, "key", "left_anti")
+    return marked.filter("not _may").select("row.*").unionByName(unsure.select("row.*"))
 
 
 STAGES = [

@@ -172,7 +172,6 @@ def signatures(sets: list[np.ndarray], schemes: Schemes) -> tuple[np.ndarray, np
     return np.concatenate(sigs), np.concatenate(owners)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
 _BLOBS = pa.schema([("bucket", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("nodes", pa.binary())])
 _RUNS = pa.schema([("run", pa.int64()), ("node", pa.int64()), ("first", pa.int64()), ("weight", pa.int64())])
 
@@ -183,7 +182,7 @@ def _describe(batches):
         for i, x in shingle_sets(t.column(1)):
             n[i] = len(x)
             node[i] = set_id(x)
-        yield pa.record_batch([t.column(0), pa.array(n), pa.array(node, mask=n == 0)], schema=_SETS)
+        yield pa.record_batch([t.column(0), pa.array(n), pa.array(node, mask=n == 0)], names=["doc_id", "n_shingles", "node"])
 
 
 def _blobs(buckets: int, num: int, den: int):
@@ -439,11 +438,12 @@ def _verify(num: int, den: int):
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``."""
+    """doc_id, n_shingles, component_id of every row of ``docs``; ids may be of any type that has an order."""
     spark = docs.sparkSession
     ship(spark)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = shared_table(narrow.mapInArrow(_describe, "doc_id long, n_shingles long, node long"), "jaccard-sets")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    described = shared_table(narrow.mapInArrow(_describe, f"doc_id {kind}, n_shingles long, node long"), "jaccard-sets")
     classes = described.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n")
     )
