@@ -31,7 +31,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -49,10 +49,15 @@ class ChunkTokenizer:
         return b"".join(out)
 
     def learn(self, chunks: list[bytes]) -> None:
-        """Encode new chunks, those outside printable ASCII in long lines; a token belongs to the chunk it starts in."""
+        """Encode new chunks, those outside printable ASCII in long lines; a token belongs to the chunk it starts in.
+
+        A chunk that holds an added token of the vocabulary goes through the library by itself.
+        """
         rest = []
         for c in chunks:
-            if c.isascii() and c.decode().isprintable():
+            if any(x in c.lower() for x in self.added):
+                self.known[c] = np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            elif c.isascii() and c.decode().isprintable():
                 self.known[c] = self.plain(c)
             else:
                 rest.append(c)
