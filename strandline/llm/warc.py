@@ -18,8 +18,11 @@ payload. Repeated copies of one segment count once if they are equal and are an
 error if not.
 
 Cases: a null payload counts as empty; a null url is written as an empty target.
-Rows that repeat a page_id with one payload all refer to the smallest page_id,
-which is a response once per row with it. Null ids never become a response that
+A record is identified by its page_id, its payload's digest and its place among the
+records of its task, so rows that share a page_id, or have none, keep their own
+payloads. Rows that repeat a page_id with one payload all refer to the smallest page_id,
+which is a response once per row with it; a revisit names that page_id and the
+payload's digest, by which readers find any of them. Null ids never become a response that
 others refer to unless no other id has the payload. Headers take values without
 line breaks: these become spaces. An empty table writes and reads nothing.
 """
@@ -32,6 +35,7 @@ import hashlib
 import uuid
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,28 +102,32 @@ def parse(data: bytes):
         at = end + 4 + size
 
 
-def record_id(row: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, row)}>"
+def record_id(*identity) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, '#'.join(map(str, identity)))}>"
 
 
-def records(row: str, url: str, payload: bytes, refers_to: str | None, date: str, segment: int, chunk: int):
-    """The WARC records of one row; ``refers_to`` is the row key of the response, None for a response itself."""
+def records(row: str, url: str, payload: bytes, refers_to: str | None, date: str, segment: int, chunk: int, place: str = ""):
+    """The WARC records of one row; ``refers_to`` is the row key of the response, None for a response itself.
+
+    ``place`` tells rows apart that are equal in key and payload.
+    """
     digest = payload_digest(payload)
+    own_id = record_id(row, digest, place)
     common = [("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Row", row)]
     if refers_to is not None:
-        extra = [("WARC-Record-ID", record_id(row)), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Row", refers_to), ("X-Payload-Length", str(len(payload)))]
+        extra = [("WARC-Record-ID", own_id), ("WARC-Refers-To-Date", date), ("X-Refers-To-Row", refers_to), ("X-Payload-Length", str(len(payload)))]
         profile = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("Content-Type", "application/http;msgtype=response")]
         yield record("revisit", common + extra + profile, b"HTTP/1.1 200 OK\r\n\r\n")
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk)
-    ids = [("WARC-Record-ID", record_id(row)), ("Content-Type", "application/http;msgtype=response")]
+    ids = [("WARC-Record-ID", own_id), ("Content-Type", "application/http;msgtype=response")]
     if len(block) <= segment:
         yield record("response", common + ids, block)
         return
     yield record("response", common + ids + [("WARC-Segment-Number", "1")], block[:segment])
     starts = range(segment, len(block), segment)
     for n, at in enumerate(starts, 2):
-        own = [("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Record-ID", record_id(f"{row}#{n}")), ("WARC-Segment-Origin-ID", record_id(row)), ("WARC-Segment-Number", str(n))]
+        own = [("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Record-ID", record_id(row, digest, place, n)), ("WARC-Segment-Origin-ID", own_id), ("WARC-Segment-Number", str(n))]
         if n == len(starts) + 1:
             own.append(("WARC-Segment-Total-Length", str(len(block))))
         yield record("continuation", own, block[at : at + segment])
@@ -147,10 +155,12 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", segme
 
     def run(batches):
         schema = pa.schema([("value", pa.binary())])
+        task, number = TaskContext.get().partitionId(), 0
         for t in batches:
             out, held = [], 0
             for page, url, payload, first in zip(*(t.column(c).to_pylist() for c in ("page_id", "url", "payload", "first")), strict=True):
-                for r in records(str(page), url, payload, None if first is None else str(first), date, segment, chunk):
+                number += 1
+                for r in records(str(page), url, payload, None if first is None else str(first), date, segment, chunk, f"{task}-{number}"):
                     out.append(r)
                     held += len(r)
                 if held > 1 << 22:
