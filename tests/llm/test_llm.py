@@ -209,7 +209,7 @@ def test_decontamination(spark):
     edited = ITEM.replace("goblin", "gobln").replace("wizards, quite", "wizards  quite").upper()
     docs = [(1, filler[:700] + " " + ITEM + " " + filler[700:]), (2, filler + edited), (3, filler), (4, None), (5, ITEM[: len(ITEM) // 2] + filler), (6, ITEM), (7, "")]
     rows = spark.createDataFrame(docs, "doc_id long, text string")
-    bench = spark.createDataFrame([(10, ITEM), (11, None), (12, "tiny"), (13, ITEM)], "item_id long, text string")
+    bench = spark.createDataFrame([(10, ITEM), (11, None), (12, "not there"), (13, ITEM)], "item_id long, text string")
     got = decontaminate.leaks(rows, bench).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(d, i) for d in (1, 2, 6) for i in (10, 13)]
     for r in got:
@@ -268,7 +268,6 @@ def test_tokenizer_chunks_match_the_library():
     texts = [t or "" for _, t in ODD] + ["he's I'LL 3.14 <|startoftext|>x ẖH̱ ΣΑΣ 日本語 テスト x y", "ﬁ\x00\x85 a"]
     path = tokens.vocabulary("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     got = list(tokens.ChunkTokenizer(path).packed(pa.array(texts)))
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
