@@ -24,7 +24,9 @@ of the symmetric difference), then by finer cells, one for one or two members, a
 only if these allow a link on the whole sets: each set against that first set of a run with
 which it shares the most runs; then against the first of each run with which it is not yet connected;
 then the remaining pairs under one first whose ends are still in different components,
-in blocks of bounded size.
+in blocks of bounded size. Blocks exchange rows, never pairs: a pass returns the rows
+that still have a possible partner, the last one a spanning forest of the links. The
+largest component under a first is not compared with itself.
 The result holds components only, so pairs inside a component need no check and
 the copies of a large group cost one or a few checks each instead of all pairs.
 
@@ -338,87 +340,127 @@ def _nearer(num: int, den: int):
     return run
 
 
-def _apart(num: int, den: int):
-    """Pairs of one block, or of two, in different components and not ruled out by sizes and cells.
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return den * both >= num * (len(x) + len(y) - both)
 
-    Each set brings the smallest ``FEW`` of its firsts. A pair that has some of
-    these in common is returned under the smallest of them only.
-    """
 
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("mine").to_numpy(), kind="stable")
-        mine, node, label, n = (table.column(c).to_numpy()[order] for c in ("mine", "node", "label", "n"))
-        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)[order].astype(np.int16)
+def _fold(fine: bytes) -> np.ndarray:
+    """The ``CELLS`` cell counts that finer ones add up to."""
+    return np.minimum(np.frombuffer(fine, np.uint8).reshape(CELLS, -1).sum(1, dtype=np.int64), 255).astype(np.int16)
+
+
+class Block:
+    """The rows of one block, or of two, that are compared with each other."""
+
+    def __init__(self, table: pa.Table, cells: list[np.ndarray], num: int, den: int):
+        self.num, self.den = num, den
+        column = lambda c: table.column(c).to_numpy()
+        self.order = np.argsort(column("mine"), kind="stable")
+        self.mine, self.node, self.label, self.n = (column(c)[self.order] for c in ("mine", "node", "label", "n"))
+        self.cells = np.stack(cells)[self.order].astype(np.int16)
         firsts = table.column("firsts").to_pylist()
-        firsts = [set(firsts[i]) for i in order]
-        here = table.column("first")[0].as_py()
-        x_block, y_block = (table.column(c)[0].as_py() for c in "xy")
-        two = x_block != y_block
-        half = int(np.searchsorted(mine, x_block, "right"))
-        out_a, out_b = [], []
-        for i in range(half if two else len(mine) - 1):
-            rest = np.arange(half if two else i + 1, len(mine))
-            rest = rest[(label[rest] != label[i]) & (np.minimum(n[rest], n[i]) * den >= np.maximum(n[rest], n[i]) * num)]
+        self.firsts = [set(firsts[i]) for i in self.order]
+        self.here, x, y = (table.column(c)[0].as_py() for c in ("first", "x", "y"))
+        self.half = int(np.searchsorted(self.mine, x, "right")) if x != y else None
+
+    def near(self):
+        """(i, list of j) of the pairs in different components that sizes and cells don't rule out.
+
+        Each set brings the smallest ``FEW`` of its firsts. A pair that has some of
+        these in common is met under the smallest of them only.
+        """
+        num, den, n = self.num, self.den, self.n
+        for i in range(len(n) - 1 if self.half is None else self.half):
+            rest = np.arange(i + 1 if self.half is None else self.half, len(n))
+            rest = rest[(self.label[rest] != self.label[i]) & (np.minimum(n[rest], n[i]) * den >= np.maximum(n[rest], n[i]) * num)]
             if not len(rest):
                 continue
-            apart = np.abs(cells[rest] - cells[i]).sum(1, dtype=np.int32)
+            apart = np.abs(self.cells[rest] - self.cells[i]).sum(1, dtype=np.int32)
+            found = []
             for j in rest[(num + den) * apart <= (den - num) * (n[rest] + n[i])].tolist():
-                both = firsts[i] & firsts[j]
-                if not both or min(both) == here:
-                    out_a.append(max(node[i], node[j]))
-                    out_b.append(min(node[i], node[j]))
-        same = lambda v: pa.array(np.full(len(out_a), v, np.int64))
-        return pa.table({"first": same(here), "x": same(x_block), "y": same(y_block), "a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+                both = self.firsts[i] & self.firsts[j]
+                if not both or min(both) == self.here:
+                    found.append(j)
+            if found:
+                yield i, found
 
-    return run
+    def nearer(self, fine: list[bytes]):
+        """The pairs (i, j) that finer cells, in the block's order, don't rule out either."""
+        for i, found in self.near():
+            for j in found:
+                if (self.num + self.den) * _apart_by(fine[i], fine[j]) <= (self.den - self.num) * int(self.n[i] + self.n[j]):
+                    yield i, j
 
 
-def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    both = int((y[at] == x).sum())
-    return den * both >= num * (len(x) + len(y) - both)
+#: A row of a block without any description of its set.
+_ROW = ["first", "x", "y", "mine", "node", "label", "n", "firsts"]
+_ROW_SQL = "first long, x long, y long, mine long, node long, label long, n long, firsts array<long>"
+
 
+def _rows_in(table: pa.Table, block: Block, kept: set[int]) -> pa.Table:
+    return table.select(_ROW).take(pa.array(np.sort(block.order[sorted(kept)]) if kept else [], pa.int64()))
 
-def _nearer_block(num: int, den: int):
-    """Keeps the pairs of a block that finer cells don't rule out; each set's cells come once."""
 
-    def run(pairs: pa.Table, ends: pa.Table) -> pa.Table:
-        of = {n: (size, m) for n, size, m in zip(*(ends.column(c).to_pylist() for c in ("node", "n", "members")), strict=True)}
-        ok = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-            (na, x), (nb, y) = of[a], of[b]
-            ok.append((num + den) * _apart_by(x, y) <= (den - num) * (na + nb))
-        return pairs.filter(pa.array(ok, pa.bool_()))
+def _near_rows(num: int, den: int):
+    """The rows of a block that are in any near pair. Pairs stay inside: a block returns no more rows than it has."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block = Block(table, [np.frombuffer(x, np.uint8) for x in table.column("cells").to_pylist()], num, den)
+        kept: set[int] = set()
+        for i, found in block.near():
+            kept.update((i, *found))
+        return _rows_in(table, block, kept)
 
     return run
 
 
-def _verify_block(num: int, den: int):
-    """Links between the pairs of a block, on whole sets, each of which comes once.
+def _nearer_rows(num: int, den: int):
+    """The rows of a block that are in any pair which finer cells don't rule out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        fine = table.column("members").to_pylist()
+        block = Block(table, [_fold(x) for x in fine], num, den)
+        fine = [fine[i] for i in block.order]
+        return _rows_in(table, block, {k for pair in block.nearer(fine) for k in pair})
+
+    return run
+
+
+def _verify_rows(num: int, den: int):
+    """Links between the rows of a block, on whole sets, each of which comes once.
 
     A pair whose ends the links found so far connect already needs no check; so a
-    block returns fewer links than it has sets, and the components are the same.
+    block returns fewer links than it has rows, and the components are the same.
     """
 
-    def run(pairs: pa.Table, ends: pa.Table) -> pa.Table:
-        sets = {n: np.frombuffer(m, U64) for n, m in zip(ends.column("node").to_pylist(), ends.column("members").to_pylist(), strict=True)}
-        root = {n: n for n in sets}
+    def run(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, U64) for x in table.column("members").to_pylist()]
+        fine = [_fine(x) for x in sets]
+        block = Block(table, [_fold(x) for x in fine], num, den)
+        sets, fine = [sets[i] for i in block.order], [fine[i] for i in block.order]
+        root: dict[int, int] = {}
 
         def find(n: int) -> int:
-            while root[n] != n:
+            n = root.get(n, n)
+            while root.get(n, n) != n:
                 root[n] = n = root[root[n]]
             return n
 
         links = []
-        for a, b in sorted(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)):
-            x, y = find(a), find(b)
-            if x != y and _linked(sets[a], sets[b], num, den):
-                root[x] = y
-                links.append((a, b))
-        a, b = (pa.array([x[i] for x in links], pa.int64()) for i in (0, 1))
+        for i, found in block.near():
+            for j in found:
+                a, b = find(int(block.label[i])), find(int(block.label[j]))
+                if a == b or (num + den) * _apart_by(fine[i], fine[j]) > (den - num) * int(block.n[i] + block.n[j]):
+                    continue
+                if _linked(sets[i], sets[j], num, den):
+                    root[a] = b
+                    links.append((int(block.node[i]), int(block.node[j])))
+        a, b = (pa.array([x[k] for x in links], pa.int64()) for k in (0, 1))
         return pa.table({"a": a, "b": b, "linked": pa.array([True] * len(links), pa.bool_())})
 
     return run
@@ -503,27 +545,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tried = tried.unionByName(verified(second, "jaccard-tried-2"))
     labels = labelled(tried)
 
-    # What is left: sets that share the first of a run and are in different components.
-    held = met.join(labels, "node", "left").select("first", "node", F.coalesce("label", "node").alias("label"))
-    mixed = held.groupBy("first").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
-    held = shared_table(held.join(mixed.select("first", "m"), "first"), "jaccard-held")
+    # What is left: sets that share the first of a run and are in different components. The
+    # largest component under a first needs no comparison with itself, only with the others.
+    held = shared_table(met.join(labels, "node", "left").select("first", "node", F.coalesce("label", "node").alias("label")), "jaccard-under")
+    under = held.groupBy("first", "label").agg(F.count(F.lit(1)).alias("m"))
+    mixed = under.groupBy("first").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("labels"))
+    held = shared_table(held.join(mixed.filter("labels > 1").drop("labels"), "first"), "jaccard-held")
     few = held.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("first")), 1, FEW).alias("firsts"))
     known = shared_table(cells.withColumnsRenamed({"members": "cells"}).join(few, "node"), "jaccard-known")
-    blocks = F.ceil(F.col("m") / BLOCK)
-    dealt = held.join(known, "node").withColumn("mine", F.pmod(F.xxhash64("node"), blocks))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("first", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "label", "n", "cells", "firsts")
+    main, others, of_main = F.ceil(F.col("most") / BLOCK), F.ceil((F.col("m") - F.col("most")) / BLOCK), F.col("label") == F.col("main")
+    own = F.when(of_main, F.pmod(F.xxhash64("node"), main)).otherwise(main + F.pmod(F.xxhash64("node"), others))
+    dealt = held.join(known, "node").withColumn("mine", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(of_main, main).otherwise(F.lit(0).cast("long")), main + others - 1)))
+    dealt = dealt.select("first", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "label", "n", "firsts", "cells")
     block = ["first", "x", "y"]
-    near = shared_table(dealt.groupBy(*block).applyInArrow(_apart(num, den), "first long, x long, y long, a long, b long"), "jaccard-tried-3-near")
+    near = shared_table(dealt.groupBy(*block).applyInArrow(_near_rows(num, den), _ROW_SQL), "jaccard-near-rows")
 
-    def checked(pairs: DataFrame, describe, check, kind: str, name: str) -> DataFrame:
-        """Pairs of a block checked against descriptions of their ends, which come once a block."""
-        ends = shared_table(pairs.select(*block, F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
-        of = contents(ends.select("node").distinct(), describe)
-        return shared_table(pairs.groupBy(*block).cogroup(ends.join(of, "node").groupBy(*block)).applyInArrow(check, kind), name)
+    def described_rows(rows: DataFrame, describe) -> DataFrame:
+        """The rows with a description of their sets, ready for one task a block."""
+        of = contents(rows.select("node").distinct(), describe)
+        return rows.join(of.select("node", "members"), "node").groupBy(*block)
 
-    nearer = checked(near, _fine, _nearer_block(num, den), "first long, x long, y long, a long, b long", "jaccard-tried-3-nearer")
-    third = checked(nearer, bytes, _verify_block(num, den), "a long, b long, linked boolean", "jaccard-tried-3")
+    nearer = shared_table(described_rows(near, _fine).applyInArrow(_nearer_rows(num, den), _ROW_SQL), "jaccard-nearer-rows")
+    third = shared_table(described_rows(nearer, bytes).applyInArrow(_verify_rows(num, den), "a long, b long, linked boolean"), "jaccard-tried-3")
     tried = tried.unionByName(third)
     labels = labelled(tried)
 

@@ -57,6 +57,8 @@ PER_CLASS, SAMPLE_BYTES = 5000, 1 << 15
 FOLDS = 3
 RIDGE = 0.3
 LEAST_ROWS = 3
+#: Texts whose features a worker holds at a time.
+TEXTS = 256
 #: Sample rows that a Newton step holds as floating-point numbers at a time.
 BLOCK = 1024
 
@@ -202,7 +204,7 @@ _DRAWN = pa.schema([("key", pa.int64()), ("features", pa.binary()), ("near", pa.
 
 def _described(batches):
     """Distinct feature hashes and the smallest shingle hash of every sample text."""
-    for t in batches:
+    for t in (b.slice(at, TEXTS) for b in batches for at in range(0, len(b), TEXTS)):
         column = t.column("text")
         found = [np.zeros(0, U64)] * len(t)
         for a, b, h, doc in features(column):
@@ -221,7 +223,7 @@ def _counted(cells: int):
     schema = pa.schema([("feature", pa.int64()), *((f"n{i}", pa.int64()) for i in range(cells))])
 
     def run(batches):
-        for t in batches:
+        for t in (b.slice(at, TEXTS) for b in batches for at in range(0, len(b), TEXTS)):
             blobs = [np.frombuffer(x.as_buffer(), np.int64) for x in t.column("features")]
             key = np.concatenate([np.zeros(0, np.int64), *blobs])
             cell = np.repeat(t.column("cell").to_numpy(zero_copy_only=False), [len(x) for x in blobs]).astype(np.int64)

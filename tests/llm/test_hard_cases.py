@@ -218,3 +218,33 @@ def test_pipeline_against_plain_stages(spark):
     column = pa.array([left[i] for i in firsts])
     leaking = {firsts[i] for i, *_ in decontaminate.search(decontaminate.Items(list(range(len(items))), items), column)}
     assert out == set(firsts) - leaking
+
+
+def test_jaccard_blocks_of_one_large_group_that_is_not_one_component(spark, monkeypatch):
+    from strandline.llm import jaccard_join
+    from test_llm import brute_components
+
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(160)]
+    docs = []
+    for i in range(90):
+        words = list(base)
+        for at in rng.sample(range(160), rng.choice([1, 2, 3, 4, 5, 6, 7])):
+            words[at] = f"x{i}y{at}"
+        docs.append((i, " ".join(words)))
+    for block, few in ((1024, 8), (5, 1)):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "FEW", few)
+        got = jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert sorted((tuple(r) for r in got), key=str) == brute_components(docs)
+    assert len({r["component_id"] for r in got}) > 3
+
+
+def test_jaccard_of_very_long_texts(spark):
+    from strandline.llm import jaccard_join
+    from test_llm import brute_components
+
+    long = " ".join(f"w{i}" for i in range(200_000))
+    docs = [(1, long), (2, long.replace("w777 ", "z ")), (3, long[: len(long) // 2]), (4, None)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_components(docs)
