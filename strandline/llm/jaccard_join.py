@@ -443,11 +443,10 @@ def _verify_rows(num: int, den: int):
         fine = [_fine(x) for x in sets]
         block = Block(table, [_fold(x) for x in fine], num, den)
         sets, fine = [sets[i] for i in block.order], [fine[i] for i in block.order]
-        root: dict[int, int] = {}
+        root = {n: n for n in block.label.tolist()}
 
         def find(n: int) -> int:
-            n = root.get(n, n)
-            while root.get(n, n) != n:
+            while root[n] != n:
                 root[n] = n = root[root[n]]
             return n
 
