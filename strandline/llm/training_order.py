@@ -1,28 +1,28 @@
 """Training-order materialisation: every sequence at its own place of a keyed permutation.
 
 Texts become token ids with an end id and are cut to sequences of ``LENGTH`` ids,
-the last one padded. The n sequences are numbered 0 to n - 1: a first pass counts
-them per input partition, running totals give each partition its first number.
-A keyed Feistel network on the smallest even number of bits that covers n maps
-number to slot; a result of n or more is mapped again until it is below n (cycle
-walking), which makes it a permutation of 0 to n - 1. No sort and no list of slots
+the last one padded. Ids are written once, as a table, with the number of each text's
+first sequence within its task; running totals over tasks (one row a task) number the n
+sequences 0 to n - 1. A keyed Feistel network on the smallest even number of bits that
+covers n maps number to slot; a result of n or more is mapped again until it is below n
+(cycle walking), which makes it a permutation of 0 to n - 1. No sort and no list of slots
 is needed, and slot and number follow from each other by the key alone.
 
 Shard k holds slots k * ROWS to (k + 1) * ROWS - 1 in order. A record is 16 bytes
 of origin (doc_id, piece, ids in use) and LENGTH ids, so record i starts at byte
-i * stride and a reader can resume at any slot. Map tasks send compressed blobs by shard; a shard is built and
-checked by one task and its size is fixed whatever the input.
+i * stride and a reader can resume at any slot. Tasks send compressed blobs by shard;
+partitions are ranges of shards, whose bounds are known without sampling. A task builds
+and checks its shards one after another, and a shard's size is fixed whatever the input.
+Shards lie in folders ``shard=k``, so a reader that starts at a slot lists and opens
+only the folders from that slot's shard on.
 
-Ids: ``bytes`` is the byte-level vocabulary, one byte an id (UTF-8 never contains
-254 and 255, which pad and end). With a vocabulary name or path the ids are those of
-``tokens`` in two or four bytes; both passes then tokenize.
-
-The numbering needs an input whose partitions come out the same when read again:
-a stored table. A task whose count differs from the first pass's stops the job.
+Ids are those of ``tokens`` for a vocabulary name or path, in two or four bytes; ``bytes``
+is the byte-level vocabulary, one byte an id (UTF-8 never contains 254 and 255, which pad
+and end).
 
 Cases: null and empty texts are one sequence, the end id alone. Rows that repeat
-are sequences of their own. An empty table writes no shard. Further columns play
-no part.
+are sequences of their own, as are rows without an id. A very long text is many
+sequences of one row. An empty table writes no shard. Further columns play no part.
 """
 
 from __future__ import annotations
@@ -32,16 +32,20 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.textkit import U64, mix, texts
 from strandline.llm.tokens import chunk_tokenizer, vocabulary
-from strandline.runtime import shared_path, ship
+from strandline.runtime import drop_shared, shared_path, shared_table, ship
 
 LENGTH = 512
-#: Records of a shard: 8.6 MB at one byte an id.
+#: Vocabulary of the query, and the end and padding ids of all vocabularies but ``bytes``.
+VOCAB, VOCAB_END, VOCAB_PAD = "word_bpe_49k.json", 1, 0
+#: Records of a shard: 17 MB at two bytes an id.
 ROWS = 16384
+#: Tasks that build shards, about, once there are as many shards.
+TASKS = 4096
 ROUNDS = 6
 KEY = 20240229
 PAD, END = 254, 255
@@ -89,18 +93,29 @@ def _encoded(column, vocab: str):
     else:
         kind = _id_type(vocab)
         for packed in chunk_tokenizer(vocab if "/" in vocab else vocabulary(vocab)).packed(column):
-            yield np.append(np.frombuffer(packed, "<u4"), 1).astype(kind)
+            yield np.append(np.frombuffer(packed, "<u4"), VOCAB_END).astype(kind)
+
+
+_IDS_SQL = "part int, number long, doc_id long, ids binary"
+_IDS = pa.schema([("part", pa.int32()), ("number", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+
 
+def _ids(vocab: str, length: int):
+    """Ids of every text, the task, and the number of the text's first sequence within the task."""
 
-def _count(vocab: str, length: int):
     def run(batches):
-        n = 0
+        part, number = TaskContext.get().partitionId(), 0
         for t in batches:
-            if vocab == "bytes":
-                n += int(((np.diff(texts(t.column("text"))[0]) + length) // length).sum())
-            else:
-                n += sum(-(-len(x) // length) for x in _encoded(t.column("text"), vocab))
-        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
+            rows, held = [], 0
+            for doc, ids in zip(t.column("doc_id").to_pylist(), _encoded(t.column("text"), vocab), strict=True):
+                rows.append((part, number, doc, ids.tobytes()))
+                number += -(-len(ids) // length)
+                held += ids.nbytes
+                if held > 1 << 22:
+                    yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _IDS, strict=True)], schema=_IDS)
+                    rows, held = [], 0
+            if rows:
+                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _IDS, strict=True)], schema=_IDS)
 
     return run
 
@@ -114,16 +129,17 @@ def record_type(vocab: str, length: int) -> np.dtype:
     return np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("used", "<i4"), ("ids", _id_type(vocab), (length,))])
 
 
-def _send(vocab: str, length: int, rows: int, first: dict[int, int], counts: dict[int, int], n: int, key: int):
+def _send(vocab: str, length: int, rows: int, n: int, key: int):
+    """Compressed records by shard, from rows (number, doc_id, ids)."""
+
     def run(batches):
-        part = TaskContext.get().partitionId()
-        number, kind = first.get(part, 0), record_type(vocab, length)
-        pad = PAD if vocab == "bytes" else 0
+        kind = record_type(vocab, length)
+        pad = PAD if vocab == "bytes" else VOCAB_PAD
         held, size = [], 0
 
         def flush():
-            block = np.concatenate(held)
-            slots = feistel(np.arange(number, number + len(block)), n, key)
+            block = np.concatenate([x for _, x in held])
+            slots = feistel(np.concatenate([np.arange(at, at + len(x)) for at, x in held]), n, key)
             order = np.argsort(slots)
             block, slots = block[order], slots[order]
             shard = slots // rows
@@ -135,7 +151,8 @@ def _send(vocab: str, length: int, rows: int, first: dict[int, int], counts: dic
                 yield pa.record_batch([pa.array([int(shard[i]) for i, _ in spans], pa.int64()), pack(slots), pack(block)], schema=_SENT)
 
         for t in batches:
-            for doc, ids in zip(t.column("doc_id").to_pylist(), _encoded(t.column("text"), vocab), strict=True):
+            for number, doc, packed in zip(t.column("number").to_pylist(), t.column("doc_id").to_pylist(), t.column("ids"), strict=True):
+                ids = np.frombuffer(packed.as_buffer(), kind["ids"].base)
                 many = -(-len(ids) // length)
                 block = np.zeros(many, kind)
                 block["doc_id"] = 0 if doc is None else doc
@@ -147,56 +164,75 @@ def _send(vocab: str, length: int, rows: int, first: dict[int, int], counts: dic
                 padded = np.full(many * length, pad, ids.dtype)
                 padded[: len(ids)] = ids
                 block["ids"] = padded.reshape(many, length)
-                held.append(block)
+                held.append((number, block))
                 size += block.nbytes
                 if size > GATHER:
                     yield from flush()
-                    number += sum(map(len, held))
                     held, size = [], 0
         if held:
             yield from flush()
-            number += sum(map(len, held))
-        if number - first.get(part, 0) != counts.get(part, 0):
-            raise RuntimeError(f"partition {part} had {counts.get(part, 0)} sequences when counted and {number - first.get(part, 0)} now")
 
     return run
 
 
-def _shard(rows: int, n: int, stride: int):
-    def run(t: pa.Table) -> pa.Table:
-        shard = t.column("shard")[0].as_py()
-        get = lambda c, k: np.frombuffer(b"".join(map(zlib.decompress, t.column(c).to_pylist())), k)
-        slots = get("slots", np.int64)
+def _shards(rows: int, n: int, stride: int):
+    """Whole shards from rows in the order of their shards."""
+    schema = pa.schema([("shard", pa.int64()), ("value", pa.binary())])
+
+    def build(shard: int, held: list[tuple[bytes, bytes]]):
+        slots, records = (np.frombuffer(b"".join(zlib.decompress(x[k]) for x in held), kind) for k, kind in ((0, np.int64), (1, np.uint8)))
         order = np.argsort(slots)
         want = min(rows, n - shard * rows)
         if len(slots) != want or (slots[order] != np.arange(shard * rows, shard * rows + want)).any():
             raise RuntimeError(f"shard {shard} has {len(slots)} records for {want} slots")
-        records = get("records", np.uint8).reshape(-1, stride)[order]
-        return pa.table({"shard": pa.array([shard], pa.int64()), "value": pa.array([records.tobytes()], pa.binary())})
+        return pa.record_batch([pa.array([shard], pa.int64()), pa.array([records.reshape(-1, stride)[order].tobytes()], pa.binary())], schema=schema)
+
+    def run(batches):
+        now, held = None, []
+        for t in batches:
+            for shard, *blobs in zip(*(t.column(c).to_pylist() for c in ("shard", "slots", "records")), strict=True):
+                if held and shard != now:
+                    yield build(now, held)
+                    held = []
+                now = shard
+                held.append(blobs)
+        if held:
+            yield build(now, held)
 
     return run
 
 
-def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocab: str = "bytes", length: int = LENGTH, rows: int = ROWS, key: int = KEY) -> int:
+def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocab: str = VOCAB, length: int = LENGTH, rows: int = ROWS, key: int = KEY) -> int:
     """Write shards below ``path``, one folder ``shard=k`` each; returns the number of sequences."""
     spark = docs.sparkSession
     ship(spark)
     texts_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = {r["part"]: r["n"] for r in texts_.mapInArrow(_count(vocab, length), "part int, n long").collect()}  # one row a partition
-    first, n = {}, 0
-    for part in sorted(counts):
-        first[part], n = n, n + counts[part]
-    sent = texts_.mapInArrow(_send(vocab, length, rows, first, counts, n, key), _SENT_SQL)
-    built = sent.groupBy("shard").applyInArrow(_shard(rows, n, record_type(vocab, length).itemsize), "shard long, value binary")
+    ids = shared_table(texts_.mapInArrow(_ids(vocab, length), _IDS_SQL), "training-ids")
+    width = _id_type(vocab).itemsize
+    counts = ids.groupBy("part").agg(F.sum(F.ceil(F.octet_length("ids") / (width * length))).alias("n"))
+    # one row for each task that wrote ids, whatever the texts
+    firsts = shared_table(counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), "n"), "training-firsts")
+    n = firsts.agg(F.sum("n")).first()[0]
+    if not n:
+        return 0
+    numbered = ids.join(F.broadcast(firsts.select("part", "before")), "part").select((F.col("number") + F.col("before")).alias("number"), "doc_id", "ids")
+    sent = numbered.mapInArrow(_send(vocab, length, rows, n, key), _SENT_SQL)
+    shards = -(-n // rows)
+    each = -(-shards // min(shards, TASKS))
+    ranged = sent.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("shard")
+    built = ranged.mapInArrow(_shards(rows, n, record_type(vocab, length).itemsize), "shard long, value binary")
     # The text sink writes the bytes of a row as they are, and a line feed after the last record.
     built.select("shard", F.col("value").cast("string")).write.partitionBy("shard").text(path)
+    drop_shared(ids)
+    drop_shared(firsts)
     return n
 
 
-def read(spark, path: str, start: int = 0, vocab: str = "bytes", length: int = LENGTH, rows: int = ROWS) -> DataFrame:
+def read(spark, path: str, start: int = 0, vocab: str = VOCAB, length: int = LENGTH, rows: int = ROWS) -> DataFrame:
     """slot, doc_id, piece, used, ids (binary) of the stored records from slot ``start`` on.
 
-    Only shards at or behind ``start`` are opened; rows of a shard come in slot order.
+    Only the folders of shards at or behind ``start`` are listed and opened, by a filter on
+    the partition column; rows of a shard come in slot order.
     """
     ship(spark)
     kind = record_type(vocab, length)
@@ -221,8 +257,10 @@ def read(spark, path: str, start: int = 0, vocab: str = "bytes", length: int = L
                         schema=schema,
                     )
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    files = files.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("long").alias("shard"), "content").filter(F.col("shard") >= start // rows)
+    files = spark.read.format("binaryFile").load(path)
+    if "shard" not in files.columns:  # nothing was written
+        return spark.createDataFrame([], "slot long, doc_id long, piece int, used int, ids binary")
+    files = files.filter(F.col("shard") >= start // rows).select(F.col("shard").cast("long").alias("shard"), "content")
     return files.mapInArrow(run, "slot long, doc_id long, piece int, used int, ids binary")
 
 
@@ -232,7 +270,7 @@ def op5_training_order(spark, sf_dir: str) -> DataFrame:
     n = write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     if not n:
         return spark.createDataFrame([], "doc_id long, piece int, length int, slot long, shard long, byte_offset long, ids_crc32 long")
-    size = record_type("bytes", LENGTH).itemsize
+    size = record_type(VOCAB, LENGTH).itemsize
     return read(spark, path).select(
         "doc_id", "piece", F.col("used").alias("length"), "slot", F.floor(F.col("slot") / ROWS).alias("shard"),
         (F.col("slot") % ROWS * size).alias("byte_offset"), F.crc32("ids").alias("ids_crc32"),

@@ -247,18 +247,33 @@ def test_feistel_is_a_permutation():
     assert (training_order.feistel(np.arange(1000), 1000, 9) != training_order.feistel(np.arange(1000), 1000, 10)).any()
 
 
-def test_training_order_round_trip(spark, tmp_path):
-    n = training_order.write(odd(spark), str(tmp_path / "t"), length=16, rows=50)
-    back = training_order.read(spark, str(tmp_path / "t"), length=16, rows=50).collect()
-    assert sorted(r["slot"] for r in back) == list(range(n))
-    texts = collections.defaultdict(dict)
-    for r in back:
-        if r["doc_id"] in (1, 9, 11):
-            texts[r["doc_id"]][r["piece"]] = bytes(r["ids"])[: r["used"]]
-    for i in (1, 9, 11):
-        assert b"".join(texts[i][k] for k in sorted(texts[i])) == dict(ODD)[i].encode() + b"\xff"
-    resumed = training_order.read(spark, str(tmp_path / "t"), start=n - 7, length=16, rows=50)
-    assert sorted(r["slot"] for r in resumed.collect()) == list(range(n - 7, n))
+def test_training_order_round_trip(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.vocabulary("word_bpe_49k.json"))
+    byte_ids = lambda t: [*(t or "").encode(), 255]
+    word_ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 1]
+    monkeypatch.setattr(training_order, "GATHER", 20_000)
+    monkeypatch.setattr(training_order, "TASKS", 7)
+    docs = odd(spark).unionByName(spark.createDataFrame([(20, "long " * 250_000)], "doc_id long, text string"), allowMissingColumns=True)
+    rows_in = [*ODD, (20, "long " * 250_000)]
+    for vocab, encode, kind in (("bytes", byte_ids, np.uint8), ("word_bpe_49k.json", word_ids, np.uint16)):
+        path = str(tmp_path / vocab)
+        n = training_order.write(docs, path, vocab=vocab, length=16, rows=5000)
+        back = training_order.read(spark, path, vocab=vocab, length=16, rows=5000).collect()
+        want = collections.Counter()
+        for i, t in rows_in:
+            ids = encode(t)
+            for k, at in enumerate(range(0, len(ids), 16)):
+                part = ids[at : at + 16]
+                want[i, k, tuple(part), len(part)] += 1
+        assert collections.Counter((r["doc_id"], r["piece"], tuple(np.frombuffer(r["ids"], kind)[: r["used"]].tolist()), r["used"]) for r in back) == want
+        assert sorted(r["slot"] for r in back) == list(range(n)) and n == sum(want.values())
+        # the place of a sequence is its permuted number, and resuming opens the last shards only
+        resumed = training_order.read(spark, path, start=n - 7, vocab=vocab, length=16, rows=5000)
+        assert sorted(r["slot"] for r in resumed.collect()) == list(range(n - 7, n))
+        plan = resumed._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(shard" in plan
     assert training_order.write(empty(spark), str(tmp_path / "e")) == 0
 
 
