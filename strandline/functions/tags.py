@@ -33,8 +33,13 @@ def _map(d: dict[str, str]) -> Column:
 
 
 def normalise(c: Column) -> Column:
-    """Upper case, one hyphen between segments, words to class codes, leading zeros off numbers."""
-    s = F.regexp_replace(F.trim(F.upper(F.coalesce(c, F.lit("")))), SEPARATORS, "-")
+    """Compatibility form, upper case, one hyphen between segments, words to class codes, leading zeros off numbers.
+
+    Only surfaces beyond ASCII go through Python for their compatibility form.
+    """
+    c = F.coalesce(c, F.lit(""))
+    plain = F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(nfkc(F.when(~c.rlike(r"^\p{ASCII}*$"), c)))
+    s = F.regexp_replace(F.trim(F.upper(plain)), SEPARATORS, "-")
     s = F.regexp_replace(s, r'[^A-Z0-9\-"]', "")
     segments = F.filter(F.split(s, "-"), lambda x: x != "")
     words = _map(SEGMENT_WORDS)

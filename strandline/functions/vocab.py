@@ -135,3 +135,24 @@ KEYWORD_RULES = [
     ("manual", 0.8, ("installation, operation and maintenance", "o&m manual", "iom manual")),
 ]
 TITLE_WINDOW, REFERENCE_PENALTY = 600, 0.55
+
+# Patterns of references, clauses, places, quantities and dates in text.
+REFERENCE = r"(?<![A-Za-z0-9])(?:OISD(?:-STD)?|SOP|WO|MOC|CAPA|NCR|INC|API|ISO|IEC|PTW|JSA|HAZOP)[\s\-]?\d{2,6}(?:[-/]\d{1,4})?(?![A-Za-z])"
+CLAUSE = r"(?i)(?:clause|section|para(?:graph)?|§)\s*(\d+(?:\.\d+){0,3}(?:\([a-z]\))?)"
+FUNCTIONAL_LOCATION = r"(?i)(?:functional\s+location|floc|fl\s*tag)\s*[:\-]?\s*([A-Z0-9][A-Z0-9\-‐-―_/ ]{2,30})"
+QUANTITY = (
+    r"(?i)(?<![A-Za-z0-9.])(\d+(?:\.\d+)?)\s*(barg?|kPa|MPa|psi[ga]?|mm|cm|m|km|kg|t|degC|°C|K|rpm|Hz|kW|MW|A|V|m3/h|m³/h|LPM|GPM|hrs?|hours?|mm/yr|micron|µm)(?![A-Za-z])"
+)
+DATE_FORMS = [
+    (r"\b(\d{4}-\d{2}-\d{2})\b", "yyyy-MM-dd"), (r"\b(\d{2}/\d{2}/\d{4})\b", "dd/MM/yyyy"), (r"\b(\d{1,2}\s+[A-Z][a-z]{2}\s+\d{4})\b", "d MMM yyyy"), (r"\b(\d{1,2}-[A-Z][a-z]{2}-\d{4})\b", "d-MMM-yyyy"),
+]
+
+# Questions for a present measurement, and what a question wants summed up, in order.
+LIVE_MARKER = r"(?i)\b(current|currently|right now|at the moment|as of now|today'?s?|latest|present|real[- ]?time|live)\b"
+MEASUREMENT = r"(?i)\b(reading|readings|value|values|measurement|temperature|pressure|vibration|flow|level|speed|rpm|amps?|current draw|position|status|state|setpoint|trend|alarm)\b"
+DOCUMENTARY = r"(?i)\b(revision|version|procedure|document|drawing|sop|standard|requirement|policy|status of the (?:capa|action|incident))\b"
+QUESTION_KINDS = [
+    ("count", r"\b(how many|count|number of)\b"), ("sum", r"\b(total|sum)\b"), ("rank", r"\b(top|rank|worst|bad actor|most)\b"), ("trend", r"\b(trend|over time|per (year|month))\b"),
+    ("average", r"\b(average|mean|median)\b"),
+]
+WORTH_KINDS, EXTRACTABLE_TYPES = ["record", "incident_section", "prose", "precondition"], ["incident_report", "moc"]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strandline.functions import tags as T
 from strandline.functions import vocab as V
@@ -150,3 +154,45 @@ def running_sections(lines: DataFrame, key: str, order: str, heading: Column) ->
     """Carries the last heading of a document forward over its lines."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("section", F.last(heading, ignorenulls=True).over(w))
+
+
+#: Bytes of quotes that a worker looks for at a time; more quotes take more passes.
+QUOTE_BYTES = 4 << 20
+
+
+def quoted(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """(``id_col``, ``item_col``) of every text that holds a squashed, non-empty quote anywhere, each pair once.
+
+    All quotes of a block are looked for in one walk over a text (Aho-Corasick), so no
+    text moves, no key is hot and quotes may start or end inside a word.
+    """
+    spark = docs.sparkSession
+    bodies = docs.select(F.col(id_col).alias("id"), squash(F.col(text_col)).alias("body")).filter("body <> ''")
+    quotes = items.select(F.col(item_col).alias("item"), squash(F.col(item_text)).alias("quote")).filter("quote <> ''").distinct()
+    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {item_col} {items.schema[item_col].dataType.simpleString()}"
+
+    def find(shared):
+        def run(batches):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for quote, ids in shared.value.items():
+                automaton.add_word(quote, ids)
+            automaton.make_automaton()
+            for t in batches:
+                hits = [(i, item) for i, body in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True) for item in sorted({x for _, ids in automaton.iter(body) for x in ids})]
+                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], t.schema[0].type), pa.array([h[1] for h in hits], kind)], names=[id_col, item_col])
+
+        return run
+
+    kind = to_arrow_type(items.schema[item_col].dataType)
+    found, block, size = [], {}, 0
+    for r in quotes.orderBy("quote", "item").toLocalIterator():
+        block.setdefault(r["quote"], []).append(r["item"])
+        size += len(r["quote"])
+        if size >= QUOTE_BYTES:
+            found.append(bodies.mapInArrow(find(spark.sparkContext.broadcast(block)), schema))
+            block, size = {}, 0
+    if block:
+        found.append(bodies.mapInArrow(find(spark.sparkContext.broadcast(block)), schema))
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)

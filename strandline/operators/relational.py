@@ -50,9 +50,16 @@ def revision_levels(rows: DataFrame, series: str, order: list[Column]) -> DataFr
 
 
 def supersede(rows: DataFrame, series: str, id_col: str, date_col: str) -> DataFrame:
-    """Adds superseded_by, valid_to and is_current by the next row of the series."""
-    w = Window.partitionBy(series).orderBy(date_col, id_col)
-    return rows.withColumn("superseded_by", F.lead(id_col).over(w)).withColumn("valid_to", F.lead(date_col).over(w)).withColumn("is_current", F.col("superseded_by").isNull())
+    """Adds superseded_by, valid_to and is_current by the next level of the series.
+
+    All rows of one date are one level; those of the newest stay current. The others
+    point at the smallest id of the next level and end where it begins.
+    """
+    levels = rows.groupBy(series, date_col).agg(F.min(id_col).alias("_first"))
+    w = Window.partitionBy(series).orderBy(date_col)
+    following = levels.select(F.col(series).alias("_series"), F.col(date_col).alias("_date"), F.lead("_first").over(w).alias("superseded_by"), F.lead(date_col).over(w).alias("valid_to"))
+    joined = rows.join(following, F.col(series).eqNullSafe(F.col("_series")) & F.col(date_col).eqNullSafe(F.col("_date")), "left").drop("_series", "_date")
+    return joined.withColumn("is_current", F.col("superseded_by").isNull())
 
 
 def revision_rank(label: Column) -> Column:
@@ -91,13 +98,16 @@ def set_scores(rows: DataFrame, expected: str, found: str) -> DataFrame:
 def worst(rows: DataFrame, by: list[str], state: str, severity: dict[str, int]) -> DataFrame:
     """The most severe state of each group; ties go to the state first by name."""
     rank = F.create_map(*(F.lit(x) for kv in severity.items() for x in kv))
-    return rows.groupBy(*by).agg(F.max_by(state, F.struct(F.coalesce(F.try_element_at(rank, F.col(state)), F.lit(-1)), -F.ascii(state))).alias("state"))
+    return rows.groupBy(*by).agg(F.min_by(state, F.struct(-F.coalesce(F.try_element_at(rank, F.col(state)), F.lit(-1)), F.col(state))).alias("state"))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, value: str) -> DataFrame:
-    """Each left row with the value of the last right row of its key at or before its time: union and one window."""
+    """Each left row with the value of the last right row of its key at or before its time: union and one window.
+
+    Of several right rows at one time the largest value counts.
+    """
     l = left.withColumn("_at", F.col(left_at)).withColumn("_side", F.lit(1))  # noqa: E741
     r = right.select(key, F.col(right_at).alias("_at"), F.col(value).alias(f"_{value}")).withColumn("_side", F.lit(0))
     both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key).orderBy("_at", "_side", f"_{value}").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last(f"_{value}", ignorenulls=True).over(w)).filter("_side = 1").drop("_at", "_side", f"_{value}")

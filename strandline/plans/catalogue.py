@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandline.plans import grammar, records, retrieval, views
+from strandline.plans import extraction, grammar, records, retrieval, views
 
-_MODULES = [retrieval, records, grammar, views]
+_MODULES = [retrieval, records, grammar, views, extraction]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in _MODULES for name, q in m.SQL.items()}
 

@@ -34,21 +34,47 @@ def _tags(spark):
     return spark.createDataFrame([(t,) for t in _TAGS], "surface string")
 
 
+#: Spellings of a tag for every order, and what they stand for.
+_SPELLED = """CASE o_orderkey % 9 WHEN 0 THEN 'P-' || n || 'B' WHEN 1 THEN 'p ' || n || ' a' WHEN 2 THEN '10-P-' || n || '-B' WHEN 3 THEN 'Pump ' || n || ' B' WHEN 4 THEN 'HX-' || n WHEN 5 THEN 'PIC-' || n WHEN 6 THEN 'TK-0' || n WHEN 7 THEN 'the B pump' ELSE ' Ｐ＿' || n || '/B ' END"""
+_MEANT = """SELECT o_orderkey, surface, kind, CASE WHEN kind = 'unparsed' THEN 'THE-B-P' ELSE cls || '-' || n || sfx END AS canonical, CASE WHEN kind = 'unparsed' THEN 'unparsed|THEBP' ELSE kind || '|' || cls || '|' || n END AS block, sfx FROM (
+  SELECT *, CASE o_orderkey % 9 WHEN 4 THEN 'E' WHEN 5 THEN 'PIC' WHEN 6 THEN 'TK' ELSE 'P' END AS cls, CASE o_orderkey % 9 WHEN 5 THEN 'instrument' WHEN 7 THEN 'unparsed' ELSE 'equipment' END AS kind,
+    CASE WHEN o_orderkey % 9 = 1 THEN 'A' WHEN o_orderkey % 9 IN (0, 2, 3, 8) THEN 'B' ELSE '' END AS sfx FROM (SELECT o_orderkey, n, {spelled} AS surface FROM (SELECT o_orderkey, 100 + o_custkey % 900 AS n FROM orders)))""".format(spelled=_SPELLED)
+
+
+def _spelled(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", (100 + F.col("o_custkey") % 900).alias("n")).select("o_orderkey", F.expr(_SPELLED).alias("surface"))
+
+
+def _parsed(spark, sf):
+    """Canonical tag, kind and block of every order's spelling; each distinct spelling is parsed once."""
+    rows = _spelled(spark, sf)
+    t = T.with_tag(rows.select("surface").distinct(), "surface", "t")
+    known = shared_table(t.select("surface", T.canonical(F.col("t")).alias("canonical"), "t.kind", T.blocking_key(F.col("t")).alias("block")), "tags")
+    return rows.join(known, "surface")
+
+
 def tag_parse(spark, sf):
-    t = T.with_tag(_tags(spark), "surface", "t")
-    return t.select("surface", T.canonical(F.col("t")).alias("canonical"), "t.kind", T.blocking_key(F.col("t")).alias("block"))
+    return _parsed(spark, sf).select("o_orderkey", "surface", "canonical", "kind", "block")
 
 
-tag_parse.sql = f"SELECT * FROM (VALUES {_rows(_EXPECTED)}) AS t(surface, canonical, kind, block)"
+tag_parse.sql = f"SELECT o_orderkey, surface, canonical, kind, block FROM ({_MEANT})"
 
 
 def tag_normalise(spark, sf):
-    return _tags(spark).select("surface", T.normalise(F.col("surface")).alias("normalised"))
+    return _spelled(spark, sf).select("o_orderkey", T.normalise(F.col("surface")).alias("normalised"))
+
+
+tag_normalise.sql = """SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'P-' || n || 'B' WHEN 1 THEN 'P-' || n || '-A' WHEN 2 THEN '10-P-' || n || '-B' WHEN 3 THEN 'P-' || n || '-B' WHEN 4 THEN 'E-' || n WHEN 5 THEN 'PIC-' || n WHEN 6 THEN 'TK-' || n WHEN 7 THEN 'THE-B-P'
+  ELSE 'P-' || n || '-B' END AS normalised FROM (SELECT o_orderkey, 100 + o_custkey % 900 AS n FROM orders)"""
+
+
+def block_letters(spark, sf):
+    """Blocks of assets that differ in their item letter only, and how many spellings each asset has."""
+    p = _parsed(spark, sf).filter("kind = 'equipment'")
+    return p.groupBy("block").agg(F.countDistinct("canonical").alias("assets"), F.countDistinct("surface").alias("spellings"), F.array_join(F.array_sort(F.collect_set("canonical")), "|").alias("tags"))
 
 
-tag_normalise.sql = f"""WITH t(surface) AS (VALUES {_rows([(x,) for x in _TAGS])}),
-  s AS (SELECT surface, list_filter(string_split(regexp_replace(regexp_replace(upper(trim(surface)), '[\\s\\-_/\\\\.:]+', '-', 'g'), '[^A-Z0-9\\-"]', '', 'g'), '-'), lambda x: x <> '') AS p FROM t)
-  SELECT surface, array_to_string(list_transform(p, lambda x: CASE WHEN x IN ('PUMP', 'PMP', 'PU') THEN 'P' WHEN x IN ('HX', 'HTX', 'EXCH', 'EXCHANGER') THEN 'E' WHEN regexp_full_match(x, '[0-9]+') THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE x END), '-') AS normalised FROM s"""
+block_letters.sql = f"SELECT block, count(DISTINCT canonical) AS assets, count(DISTINCT surface) AS spellings, string_agg(DISTINCT canonical, '|' ORDER BY canonical) AS tags FROM ({_MEANT}) WHERE kind = 'equipment' GROUP BY 1"
 
 _PAIRS = [
     ("P-101A", "P-101B", "SIBLING", 0.30, "link_sibling"), ("P-101B", "P-102B", "DIFFERENT", 0.10, "separate"), ("P-101B", "PIC-101", "DIFFERENT", 0.05, "separate"),
@@ -69,18 +95,20 @@ tag_pair_decision.sql = f"SELECT a, b, relation, score::DOUBLE AS score, action
 
 
 def entity_resolution(spark, sf):
-    return D.resolve(_tags(spark), "surface")
+    """Every distinct spelling resolved: merged, linked as a sibling, kept apart or sent to review."""
+    return D.resolve(_spelled(spark, sf).select("surface").distinct(), "surface")
 
 
-entity_resolution.sql = f"""WITH t(surface, canonical, kind, block) AS (VALUES {_rows(_EXPECTED)}), s AS (SELECT *, CASE WHEN kind = 'equipment' THEN nullif(regexp_extract(canonical, '[0-9]([A-Z])$', 1), '') END AS sfx FROM t),
+entity_resolution.sql = f"""WITH s AS (SELECT DISTINCT surface, canonical, kind, block, nullif(sfx, '') AS sfx FROM ({_MEANT})),
   b AS (SELECT block, count(DISTINCT sfx) AS letters FROM s GROUP BY 1) SELECT surface, canonical, block, CASE WHEN kind = 'equipment' AND sfx IS NULL AND letters > 0 THEN 'needs_review' WHEN letters > 1 THEN 'link_sibling' WHEN kind = 'unparsed' THEN 'separate' ELSE 'merge' END AS action FROM s JOIN b USING (block)"""
 
 
 def sibling_pairs(spark, sf):
-    return D.sibling_pairs(tag_parse(spark, sf), "canonical")
+    """Assets that differ in their item letter only, from the spellings of all orders."""
+    return D.sibling_pairs(tag_parse(spark, sf).select("canonical", "kind", "block").distinct(), "canonical")
 
 
-sibling_pairs.sql = "SELECT 'P-101A' AS a, 'P-101B' AS b"
+sibling_pairs.sql = f"""WITH t AS (SELECT DISTINCT canonical, block FROM ({_MEANT}) WHERE sfx <> '') SELECT a.canonical AS a, b.canonical AS b FROM t a JOIN t b USING (block) WHERE a.canonical < b.canonical"""
 
 
 def instrument_decode(spark, sf):
@@ -159,22 +187,24 @@ def chunk_windows(spark, sf):
 
 
 def citation_validity(spark, sf):
-    """Snippets of benchmark items cited from the texts that follow by number: still there or not."""
-    cited = table(spark, sf, "benchmark").select((F.col("item_id") + 1).alias("doc_id"), F.substring("text", 1, 120).alias("snippet"), "item_id")
-    hit = cited.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "left")
-    return hit.select("item_id", contains_quote(F.coalesce("text", F.lit("")), F.col("snippet")).alias("valid"))
+    """Every document cites a snippet, even ones their own, odd ones that of the document before: is it in their text?"""
+    d = table(spark, sf, "documents")
+    cited = d.select((F.col("doc_id") - F.col("doc_id") % 2).alias("source_id"), "doc_id", "text")
+    snippets = d.select(F.col("doc_id").alias("source_id"), F.substring("text", 1, 120).alias("snippet"))
+    return cited.join(snippets, "source_id", "left").select("doc_id", contains_quote(F.coalesce("text", F.lit("")), F.col("snippet")).alias("valid"))
 
 
 _SQ = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
-citation_validity.sql = f"SELECT b.item_id, coalesce({_SQ.format('substr(b.text, 1, 120)')} <> '' AND contains({_SQ.format('d.text')}, {_SQ.format('substr(b.text, 1, 120)')}), false) AS valid FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id + 1"
+citation_validity.sql = f"SELECT d.doc_id, coalesce({_SQ.format('substr(s.text, 1, 120)')} <> '' AND contains({_SQ.format('d.text')}, {_SQ.format('substr(s.text, 1, 120)')}), false) AS valid FROM documents d LEFT JOIN documents s ON s.doc_id = d.doc_id - d.doc_id % 2"
 
 
 def groundedness_ratio(spark, sf):
-    c = table(spark, sf, "labels")
-    return c.agg(F.sum("quality").alias("verbatim"), F.count(F.lit(1)).alias("claims"), F.round(F.try_divide(F.sum("quality"), F.count(F.lit(1))), 4).alias("groundedness"))
+    """Claims whose citation was verified in the cited text, by language."""
+    c = citation_validity(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    return c.groupBy("lang").agg(F.count_if("valid").alias("verbatim"), F.count(F.lit(1)).alias("claims"), F.round(F.try_divide(F.count_if("valid"), F.count(F.lit(1))), 4).alias("groundedness"))
 
 
-groundedness_ratio.sql = "SELECT CAST(sum(quality) AS BIGINT) AS verbatim, count(*) AS claims, round(sum(quality) / nullif(count(*), 0), 4) AS groundedness FROM labels"
+groundedness_ratio.sql = f"SELECT lang, count(*) FILTER (valid) AS verbatim, count(*) AS claims, round(count(*) FILTER (valid) / nullif(count(*), 0), 4) AS groundedness FROM ({citation_validity.sql}) JOIN documents USING (doc_id) GROUP BY 1"
 
 _BOXES, _POINTS = [(1, i, i * 50.0, 10.0, i * 50.0 + 40.0, 90.0) for i in range(6)], [(1, i, i * 23.0, 15.0 * i % 100) for i in range(14)]
 _LINES = [(1, i, (i % 5) * 60.0, 0.5 + i % 3, (i % 5) * 60.0 + 50.0 + i, 0.5 + i % 3) for i in range(12)]

@@ -169,8 +169,9 @@ def supersession_chain(spark, sf):
     return R.supersede(o, "o_custkey", "o_orderkey", "valid_from")
 
 
-supersession_chain.sql = """WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS valid_from FROM orders)
-  SELECT *, lead(o_orderkey) OVER w AS superseded_by, lead(valid_from) OVER w AS valid_to, lead(o_orderkey) OVER w IS NULL AS is_current FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY valid_from, o_orderkey)"""
+supersession_chain.sql = """WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS valid_from FROM orders), l AS (SELECT o_custkey, valid_from, min(o_orderkey) AS f FROM o GROUP BY ALL),
+  n AS (SELECT *, lead(f) OVER w AS superseded_by, lead(valid_from) OVER w AS valid_to FROM l WINDOW w AS (PARTITION BY o_custkey ORDER BY valid_from))
+  SELECT o.*, superseded_by, valid_to, superseded_by IS NULL AS is_current FROM o JOIN n USING (o_custkey, valid_from)"""
 
 
 def revision_conflict(spark, sf):
@@ -236,23 +237,26 @@ coverage_of_decidable.sql = f"""SELECT count(*) FILTER (state = 'satisfied') AS
 
 
 def control_coverage_stale(spark, sf):
-    """Controls and the age of their evidence: no control, no evidence, stale or covered."""
-    ev = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_partkey").alias("controls"), F.to_date(F.max("l_shipdate")).alias("last"))
+    """Controls and the age of their evidence: no control, no evidence, stale or covered. Evidence is known some days late, or not filed."""
+    li = table(spark, sf, "lineitem")
+    filed = (F.datediff(F.lit(TODAY).cast("date"), F.to_date("l_shipdate")) > F.col("l_suppkey") % 200) & (F.col("l_suppkey") % 11 != 0)
+    ev = li.filter("l_suppkey % 13 <> 1").groupBy("l_suppkey").agg(F.countDistinct("l_partkey").alias("controls"), F.to_date(F.max(F.when(filed, F.col("l_shipdate")))).alias("last"))
     s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 5 + 1).alias("months")).join(ev, F.col("s_suppkey") == F.col("l_suppkey"), "left")
-    stale = F.coalesce(F.datediff(F.lit(TODAY).cast("date"), "last") > F.col("months") * 30, F.lit(True))
+    stale = F.datediff(F.lit(TODAY).cast("date"), "last") > F.col("months") * 30
     return s.select("s_suppkey", F.coalesce("controls", F.lit(0)).alias("controls"), "last", F.when(F.coalesce("controls", F.lit(0)) == 0, "no_control").when(F.col("last").isNull(), "no_evidence").when(stale, "stale").otherwise("covered").alias("state"))
 
 
 control_coverage_stale.sql = f"""SELECT s_suppkey, coalesce(controls, 0) AS controls, last, CASE WHEN coalesce(controls, 0) = 0 THEN 'no_control' WHEN last IS NULL THEN 'no_evidence' WHEN DATE '{TODAY}' - last > (s_suppkey % 5 + 1) * 30 THEN 'stale' ELSE 'covered' END AS state
-  FROM supplier LEFT JOIN (SELECT l_suppkey, count(DISTINCT l_partkey) AS controls, CAST(max(l_shipdate) AS DATE) AS last FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey"""
+  FROM supplier LEFT JOIN (SELECT l_suppkey, count(DISTINCT l_partkey) AS controls, CAST(max(l_shipdate) FILTER (DATE '{TODAY}' - CAST(l_shipdate AS DATE) > l_suppkey % 200 AND l_suppkey % 11 <> 0) AS DATE) AS last FROM lineitem WHERE l_suppkey % 13 <> 1 GROUP BY 1) ON s_suppkey = l_suppkey"""
 
 
 def stale_after_change(spark, sf):
-    """Lines shipped before a change of their order date by more than a year, grouped with the newest change."""
+    """Orders with later changes of their customer: how many rows changed later, and the newest. One window, no self-join."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("changed"))
-    newer = o.select(F.col("o_custkey").alias("c"), F.col("changed").alias("later"), F.col("o_orderkey").alias("by"))
-    hit = o.join(newer, (F.col("o_custkey") == F.col("c")) & (F.col("changed") < F.col("later")))
-    return hit.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("changes"), F.max("later").alias("newest"))
+    later = Window.partitionBy("o_custkey").orderBy(F.unix_date("changed"))
+    whole = Window.partitionBy("o_custkey")
+    n = o.select("o_orderkey", (F.count(F.lit(1)).over(whole) - F.count(F.lit(1)).over(later.rangeBetween(Window.unboundedPreceding, 0))).alias("changes"), F.max("changed").over(whole).alias("newest"))
+    return n.filter("changes > 0")
 
 
 stale_after_change.sql = """SELECT a.o_orderkey, count(*) AS changes, max(CAST(b.o_orderdate AS DATE)) AS newest FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND CAST(a.o_orderdate AS DATE) < CAST(b.o_orderdate AS DATE) GROUP BY 1"""
@@ -354,10 +358,12 @@ unembedded_left_anti.sql = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SE
 
 
 def worst_state_rollup(spark, sf):
-    return R.worst(table(spark, sf, "events").select("user_id", "event_type"), ["user_id"], "event_type", {"view": 0, "click": 1, "signup": 2, "purchase": 3, "error": 4})
+    """The worst state of each user and day; states without a known severity rank last."""
+    e = table(spark, sf, "events").select("user_id", F.to_date("ts").cast("string").alias("day"), "event_type")
+    return R.worst(e, ["user_id", "day"], "event_type", {"click": 1, "signup": 1, "purchase": 3, "error": 4})
 
 
-worst_state_rollup.sql = "SELECT user_id, arg_max(event_type, (CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 ELSE -1 END, -ascii(event_type))) AS state FROM events GROUP BY 1"
+worst_state_rollup.sql = "SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, arg_min(event_type, (CASE event_type WHEN 'click' THEN -1 WHEN 'signup' THEN -1 WHEN 'purchase' THEN -3 WHEN 'error' THEN -4 ELSE 1 END, event_type)) AS state FROM events GROUP BY 1, 2"
 
 
 def nearest_rank_percentiles(spark, sf):
@@ -432,13 +438,15 @@ as_of_join.sql = "SELECT l.event_id, l.user_id, r.value FROM (SELECT * FROM even
 
 
 def duplicate_upload_antijoin(spark, sf):
-    """Conversation turns as uploads, documents as the store: contents not stored yet, one row a content."""
-    h = F.sha2(F.col("text").cast("binary"), 256).alias("h")
-    new = table(spark, sf, "conversations").select("conv_id", h).join(table(spark, sf, "documents").select(h).distinct(), "h", "left_anti")
-    return new.groupBy("h").agg(F.min("conv_id").alias("conv_id"))
+    """Odd documents and all turns as uploads, even documents as the store: contents not stored yet, one row a content."""
+    h = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("h")
+    docs = table(spark, sf, "documents")
+    new = docs.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), h).unionAll(table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), h))
+    return new.join(docs.filter("doc_id % 2 = 0").select(h).distinct(), "h", "left_anti").groupBy("h").agg(F.min("id").alias("id"))
 
 
-duplicate_upload_antijoin.sql = "SELECT sha256(text) AS h, min(conv_id) AS conv_id FROM conversations WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents) GROUP BY 1"
+duplicate_upload_antijoin.sql = """WITH u AS (SELECT doc_id AS id, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT conv_id, sha256(coalesce(text, '')) FROM conversations)
+  SELECT h, min(id) AS id FROM u WHERE h NOT IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE doc_id % 2 = 0) GROUP BY 1"""
 
 
 def precedent_similarity(spark, sf):

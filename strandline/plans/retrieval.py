@@ -179,16 +179,10 @@ def jaccard_overlap(spark, sf):
 
 
 def verbatim_containment(spark, sf):
-    """Texts that quote a benchmark item word for word, found by its first five words and then compared whole."""
-    from strandline.functions.text import squash
-
-    lead = lambda w: F.slice(w, 1, 5)
-    items = table(spark, sf, "benchmark").select("item_id", squash(F.col("text")).alias("quote"))
-    items = items.withColumn("key", F.array_join(lead(F.split("quote", " ")), " ")).filter("quote <> ''")
-    docs = table(spark, sf, "documents").select("doc_id", squash(F.col("text")).alias("body"))
-    words = docs.withColumn("w", F.split("body", " "))
-    keys = words.select("doc_id", "body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " ")))).alias("key"))
-    return keys.join(F.broadcast(items), "key").filter(contains_quote(F.col("body"), F.col("quote"))).select("doc_id", "item_id").distinct()
+    """Texts that quote a benchmark item word for word, white space and case aside."""
+    from strandline.operators.documents import quoted
+
+    return quoted(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
 
 
 _INTENT_ROWS = [
