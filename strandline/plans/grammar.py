@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.functions import tags as T
+from strandline.functions import vocab
 from strandline.functions.text import contains_quote, multi_format_date
 from strandline.operators import documents as D
 from strandline.operators import geometry as X
@@ -112,36 +113,37 @@ sibling_pairs.sql = f"""WITH t AS (SELECT DISTINCT canonical, block FROM ({_MEAN
 
 
 def instrument_decode(spark, sf):
-    rows = spark.createDataFrame([("PIC",), ("LSHH",), ("XQ9",)], "letters string")
-    return rows.select("letters", T.instrument_function(F.col("letters")).alias("meaning"))
+    """What the letters of every part's instrument mean."""
+    rows = table(spark, sf, "part").select("p_partkey", F.expr("CASE p_partkey % 3 WHEN 0 THEN 'PIC' WHEN 1 THEN 'LSHH' ELSE 'XQ9' END").alias("letters"))
+    return rows.select("p_partkey", T.instrument_function(F.col("letters")).alias("meaning"))
 
 
-instrument_decode.sql = "SELECT * FROM (VALUES ('PIC', 'Pressure Indicate Control'), ('LSHH', 'Level Switch High High'), ('XQ9', NULL)) AS t(letters, meaning)"
-
-_NOTES = [
-    (1, "Mechanical seal failed, high vibration before", "OTHER"), (2, "Corrosion and wall loss on the elbow", "CORR"), (3, "nothing seen", "ELP"), (4, "running hot, topped up", "VIB"), (5, None, None),
-]
+instrument_decode.sql = "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Pressure Indicate Control' WHEN 1 THEN 'Level Switch High High' END AS meaning FROM part"
 
+#: The head of a document for every order, and far below it another phrase.
+_HEAD = """CASE o_orderkey % 7 WHEN 0 THEN 'INCIDENT REPORT, see work order ' || o_custkey WHEN 1 THEN 'Standard Operating Procedure for P-101' WHEN 2 THEN rpad('', 700, 'x') || ' permit to work' WHEN 3 THEN 'nothing' WHEN 4 THEN 'P&ID of unit 3'
+  WHEN 5 THEN rpad('Datasheet', 620, '.') || ' hazop and api 610' END"""
 
-def failure_terms(spark, sf):
-    t = spark.createDataFrame(_NOTES, "id int, note string, code string").withColumn("p", D.failure_terms(F.col("note")))
-    best = D.best_failure(F.col("p"))
-    return t.select("id", F.array_join("p", "|").alias("phrases"), best.alias("mode"), D.coded_against_narrative(F.col("code"), best).alias("verdict"), F.array_join(D.cues(F.col("note")), "|").alias("cues"))
 
+def doc_classification(spark, sf):
+    """Type of every page, document and order head by its heaviest phrase, and whether records are extracted from it."""
+    from strandline.functions.extract import extractable
 
-failure_terms.sql = """SELECT * FROM (VALUES (1, 'mechanical seal failed|high vibration', 'ELP', 'recoded', ''), (2, 'corrosion|wall loss', 'CORR', 'agree', ''), (3, '', NULL, 'no_text_evidence', ''),
-  (4, 'running hot', 'OHE', 'disagree', 'running hot|topped up'), (5, '', NULL, 'no_text_evidence', '')) AS t(id, phrases, mode, verdict, cues)"""
-
-_HEADS = [
-    (1, "INCIDENT REPORT\nSee work order 12"), (2, "Standard Operating Procedure for P-101"), (3, "x" * 700 + " permit to work"), (4, "nothing"), (5, "P&ID of unit 3"), (6, None),
-]
+    text = table(spark, sf, "documents").select(F.lit("documents").alias("source"), "text").unionAll(table(spark, sf, "pages").select(F.lit("pages"), "html"))
+    t = text.unionAll(table(spark, sf, "orders").select(F.lit("orders"), F.expr(_HEAD))).select("source", D.classify(F.col("text")).alias("doc_type"))
+    return t.groupBy("source", "doc_type", extractable(F.col("doc_type")).alias("extractable")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def doc_classification(spark, sf):
-    return spark.createDataFrame(_HEADS, "id int, text string").select("id", D.classify(F.col("text")).alias("doc_type"))
+def _rated_sql() -> str:
+    out = []
+    for n, (kind, weight, phrases) in enumerate(vocab.KEYWORD_RULES):
+        at = "least(" + ", ".join(f"nullif(strpos(low, '{p}'), 0)" for p in (*phrases, phrases[0])) + ")"
+        out.append(f"{{w: CASE WHEN {at} <= {vocab.TITLE_WINDOW} THEN {weight}::DOUBLE WHEN {at} IS NOT NULL THEN {weight}::DOUBLE * {vocab.REFERENCE_PENALTY}::DOUBLE ELSE 0::DOUBLE END, n: {-n}, k: '{kind}'}}")
+    return "[" + ", ".join(out) + "]"
 
 
-doc_classification.sql = "SELECT * FROM (VALUES (1, 'work_order'), (2, 'sop'), (3, 'permit'), (4, 'unknown'), (5, 'pid'), (6, 'unknown')) AS t(id, doc_type)"
+doc_classification.sql = f"""WITH t AS (SELECT 'documents' AS source, text FROM documents UNION ALL SELECT 'pages', html FROM pages UNION ALL SELECT 'orders', {_HEAD} FROM orders), l AS (SELECT source, lower(coalesce(text, '')) AS low FROM t),
+  r AS (SELECT source, list_max({_rated_sql()}) AS b FROM l) SELECT source, CASE WHEN b.w > 0 THEN b.k ELSE 'unknown' END AS doc_type, CASE WHEN b.w > 0 THEN b.k ELSE 'unknown' END IN ('incident_report', 'moc') AS extractable, count(*) AS n FROM r GROUP BY ALL"""
 
 
 def header_synonym_map(spark, sf):
@@ -152,15 +154,19 @@ def header_synonym_map(spark, sf):
 
 header_synonym_map.sql = """SELECT wo_id, asset_tag, status, d::DOUBLE AS downtime_hours, extra FROM (VALUES ('WO-1', 'P-101B', 'CLOSED', 9, '{"Foo":"z"}'), ('WO-2', 'E-204', NULL, NULL, '{}')) AS t(wo_id, asset_tag, status, d, extra)"""
 
-_DATES = ["2024-02-29", "29/02/2024", "02/29/2024", "5 Mar 2021", "5-Mar-2021", "2021/03/05", "not a date", "03/04/2020"]
+#: Seven spellings of an order's day, the last no date.
+_SPELLED_DAY = {0: ("yyyy-MM-dd", "%Y-%m-%d"), 1: ("dd/MM/yyyy", "%d/%m/%Y"), 2: ("dd-MM-yyyy", "%d-%m-%Y"), 3: ("d MMM yyyy", "%-d %b %Y"), 4: ("d-MMM-yyyy", "%-d-%b-%Y"), 5: ("yyyy/MM/dd", "%Y/%m/%d")}
 
 
 def multi_format_dates(spark, sf):
-    return spark.createDataFrame([(d,) for d in _DATES], "raw string").select("raw", multi_format_date(F.col("raw")).cast("string").alias("day"))
+    """Days of all orders in six spellings come back as the same day; anything else is null."""
+    raw = F.lit("not a date")
+    for k, (form, _) in _SPELLED_DAY.items():
+        raw = F.when(F.col("o_orderkey") % 7 == k, F.date_format("o_orderdate", form)).otherwise(raw)
+    return table(spark, sf, "orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", "raw", multi_format_date(F.col("raw")).cast("string").alias("day"))
 
 
-multi_format_dates.sql = f"""SELECT raw, CAST(CAST(coalesce(try_strptime(raw, '%Y-%m-%d'), try_strptime(raw, '%d/%m/%Y'), try_strptime(raw, '%m/%d/%Y'), try_strptime(raw, '%d-%m-%Y'), try_strptime(raw, '%-d %b %Y'), try_strptime(raw, '%-d-%b-%Y'), try_strptime(raw, '%Y/%m/%d')) AS DATE) AS VARCHAR) AS day
-  FROM (VALUES {_rows([(d,) for d in _DATES])}) AS t(raw)"""
+multi_format_dates.sql = f"""SELECT o_orderkey, CASE o_orderkey % 7 {' '.join(f"WHEN {k} THEN strftime(o_orderdate, '{f}')" for k, (_, f) in _SPELLED_DAY.items())} ELSE 'not a date' END AS raw, CASE WHEN o_orderkey % 7 < 6 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders"""
 
 
 def record_routing(spark, sf):
@@ -206,37 +212,42 @@ def groundedness_ratio(spark, sf):
 
 groundedness_ratio.sql = f"SELECT lang, count(*) FILTER (valid) AS verbatim, count(*) AS claims, round(count(*) FILTER (valid) / nullif(count(*), 0), 4) AS groundedness FROM ({citation_validity.sql}) JOIN documents USING (doc_id) GROUP BY 1"
 
-_BOXES, _POINTS = [(1, i, i * 50.0, 10.0, i * 50.0 + 40.0, 90.0) for i in range(6)], [(1, i, i * 23.0, 15.0 * i % 100) for i in range(14)]
-_LINES = [(1, i, (i % 5) * 60.0, 0.5 + i % 3, (i % 5) * 60.0 + 50.0 + i, 0.5 + i % 3) for i in range(12)]
+# Shapes of every order's page, made from its lines by one expression on both sides.
+_BOXES = "l_orderkey AS page, l_linenumber AS box_id, l_linenumber * 50e0 AS x0, 10e0 AS y0, l_linenumber * 50e0 + 40 AS x1, 90e0 AS y1"
+_POINTS = "l_orderkey AS page, l_linenumber AS point_id, l_quantity * 7 AS x, (l_suppkey % 90 + 8) * 1e0 AS y"
+_LINES = "l_orderkey AS page, l_linenumber AS line_id, l_partkey % 5 * 60e0 AS x0, 0.5e0 + l_linenumber % 3 AS y0, l_partkey % 5 * 60e0 + 50 + l_linenumber AS x1, 0.5e0 + l_linenumber % 3 AS y1"
+_SYMBOLS = "l_orderkey AS page, l_linenumber AS symbol_id, l_linenumber * 50e0 AS x0, 0e0 AS y0, l_linenumber * 50e0 + 8 AS x1, 8e0 AS y1"
+
+
+def _shapes(spark, sf, columns: str):
+    return table(spark, sf, "lineitem").selectExpr(*columns.split(", "))
 
 
 def bubble_contains_tag(spark, sf):
-    return X.containing(spark.createDataFrame(_BOXES, "page int, box_id int, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(_POINTS, "page int, point_id int, x double, y double"))
+    return X.containing(_shapes(spark, sf, _BOXES), _shapes(spark, sf, _POINTS))
 
 
-bubble_contains_tag.sql = f"SELECT b.page, box_id, point_id FROM (VALUES {_rows(_BOXES)}) AS b(page, box_id, x0, y0, x1, y1) JOIN (VALUES {_rows(_POINTS)}) AS p(page, point_id, x, y) ON b.page = p.page AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1"
+bubble_contains_tag.sql = f"SELECT b.page, box_id, point_id FROM (SELECT {_BOXES} FROM lineitem) b JOIN (SELECT {_POINTS} FROM lineitem) p ON b.page = p.page AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1"
 
 
 def line_merge_islands(spark, sf):
-    lines = spark.createDataFrame(_LINES, "page int, line_id int, x0 double, y0 double, x1 double, y1 double").select("page", F.col("y0").alias("y"), "x0", "x1")
+    lines = _shapes(spark, sf, _LINES).select("page", F.col("y0").alias("y"), "x0", "x1")
     return X.merge_lines(lines).select("page", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"), "y", "parts")
 
 
-line_merge_islands.sql = f"""WITH l AS (SELECT page, floor(y0 / 4.0) AS bin, y0, x0, x1 FROM (VALUES {_rows(_LINES)}) AS t(page, line_id, x0, y0, x1, y1)),
+line_merge_islands.sql = f"""WITH l AS (SELECT page, floor(y0 / 4.0) AS bin, y0, x0, x1 FROM (SELECT {_LINES} FROM lineitem)),
   n AS (SELECT *, CASE WHEN max(x1) OVER w IS NULL OR x0 > max(x1) OVER w + 6 THEN 1 ELSE 0 END AS new FROM l WINDOW w AS (PARTITION BY page, bin ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   i AS (SELECT *, sum(new) OVER (PARTITION BY page, bin ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM n)
   SELECT page, round(min(x0), 3)::DOUBLE AS x0, round(max(x1), 3)::DOUBLE AS x1, round(avg(y0), 3)::DOUBLE AS y, count(*) AS parts FROM i GROUP BY page, bin, island"""
 
 
 def line_connections(spark, sf):
-    lines = spark.createDataFrame(_LINES, "page int, line_id int, x0 double, y0 double, x1 double, y1 double")
-    boxes = spark.createDataFrame([(1, i, i * 50.0, 0.0, i * 50.0 + 8.0, 8.0) for i in range(8)], "page int, symbol_id int, x0 double, y0 double, x1 double, y1 double")
-    return X.connections(lines, boxes)
+    return X.connections(_shapes(spark, sf, _LINES), _shapes(spark, sf, _SYMBOLS))
 
 
-line_connections.sql = f"""WITH l AS (SELECT * FROM (VALUES {_rows(_LINES)}) AS t(page, line_id, x0, y0, x1, y1)), b AS (SELECT 1 AS page, i AS symbol_id, i * 50.0 AS x0, 0.0 AS y0, i * 50.0 + 8 AS x1, 8.0 AS y1 FROM range(8) t(i)),
+line_connections.sql = f"""WITH l AS (SELECT {_LINES} FROM lineitem), b AS (SELECT {_SYMBOLS} FROM lineitem),
   e AS (SELECT page, line_id, x0 AS x, y0 AS y FROM l UNION ALL SELECT page, line_id, x1, y1 FROM l), t AS (SELECT DISTINCT e.page, line_id, symbol_id FROM e JOIN b ON e.page = b.page AND x BETWEEN x0 - 6 AND x1 + 6 AND y BETWEEN y0 - 6 AND y1 + 6)
-  SELECT p.page, CAST(p.symbol_id AS INTEGER) AS a, CAST(q.symbol_id AS INTEGER) AS b, min(p.line_id) AS line_id FROM t p JOIN t q ON p.page = q.page AND p.line_id = q.line_id AND p.symbol_id < q.symbol_id GROUP BY 1, 2, 3"""
+  SELECT p.page, p.symbol_id AS a, q.symbol_id AS b, min(p.line_id) AS line_id FROM t p JOIN t q ON p.page = q.page AND p.line_id = q.line_id AND p.symbol_id < q.symbol_id GROUP BY 1, 2, 3"""
 
 _INPUT = {
     "users": 120, "queries_per_day": 4, "working_days": 240, "adoption_pct": 60, "manual_minutes": 18, "assisted_minutes": 3, "cost_per_hour": 900, "events_per_year": 6,

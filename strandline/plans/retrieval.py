@@ -185,15 +185,21 @@ def verbatim_containment(spark, sf):
     return quoted(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
 
 
-_INTENT_ROWS = [
-    (1, "How many seal failures in the last 5 years"), (2, "How do I isolate the pump"), (3, "Why does P-101B keep tripping"), (4, "Compare A and B"), (5, "What is downstream of V-201"),
-    (6, "Who made the motor"), (7, "what permit is needed, and how many"),
-]
+#: A question about every part, one in eight without any rule.
+_ASKED = """CASE p_partkey % 8 WHEN 0 THEN 'How many seal failures of ' WHEN 1 THEN 'How do I isolate the ' WHEN 2 THEN 'Why does it keep tripping, ' WHEN 3 THEN 'Compare A and ' WHEN 4 THEN 'What is downstream of ' WHEN 5 THEN 'Who made '
+ WHEN 6 THEN 'what permit is needed, and how many, for ' ELSE 'Root cause versus ' END || p_name"""
 
 
 def intent_routing(spark, sf):
-    rows = spark.createDataFrame(_INTENT_ROWS, "qid int, question string").withColumn("i", R.intent(F.col("question")))
-    return rows.select("qid", "i.intent", "i.confidence")
+    rows = table(spark, sf, "part").select("p_partkey", F.expr(_ASKED).alias("question")).withColumn("i", R.intent(F.col("question")))
+    return rows.select("p_partkey", "i.intent", "i.confidence")
+
+
+def _intent_sql() -> str:
+    from strandline.functions.vocab import DEFAULT_INTENT, INTENT_RULES
+
+    pick = lambda k: "CASE " + " ".join(f"WHEN regexp_matches(q, '{p.replace('(?i)', '')}', 'i') THEN {v!r}" for p, v in ((r[2], r[k]) for r in INTENT_RULES)) + f" ELSE {DEFAULT_INTENT[k]!r} END"
+    return f"SELECT p_partkey, {pick(0)} AS intent, CAST({pick(1)} AS DOUBLE) AS confidence FROM (SELECT p_partkey, {_ASKED} AS q FROM part)"
 
 
 def confidence_score(spark, sf):
@@ -248,7 +254,7 @@ SQL = {
     "jaccard_overlap": f"""WITH t AS (SELECT conv_id, turn, list_distinct({_terms_sql('text')}) AS t FROM conversations), p AS (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM t)
       SELECT conv_id, turn, round(CASE WHEN len(p) = 0 OR len(t) = 0 THEN 0.0 ELSE len(list_intersect(p, t)) / len(list_distinct(list_concat(p, t))) END, 6) AS jaccard FROM p WHERE p IS NOT NULL""",
     "verbatim_containment": f"SELECT DISTINCT doc_id, item_id FROM documents d, benchmark b WHERE {_SQUASH.format('b.text')} <> '' AND contains({_SQUASH.format('d.text')}, {_SQUASH.format('b.text')})",
-    "intent_routing": "SELECT * FROM (VALUES (1, 'aggregate', 0.9::DOUBLE), (2, 'procedural', 0.88), (3, 'diagnostic', 0.88), (4, 'comparative', 0.85), (5, 'multi_hop', 0.82), (6, 'lookup', 0.55), (7, 'aggregate', 0.9)) AS v(qid, intent, confidence)",
+    "intent_routing": _intent_sql(),
     "confidence_score": """WITH g AS (SELECT a.id AS top_id, top_score, scale, documents, CAST(relevance AS DOUBLE) AS relevance, missing, live FROM
       (VALUES (1, 0.0, 'fusion'), (2, 0.03, 'fusion'), (3, 0.8, 'reranker'), (4, 1.4, 'reranker'), (5, 6.0, 'fusion')) AS a(id, top_score, scale),
       (VALUES (0), (1), (3), (6)) AS b(documents), (VALUES (0.1), (0.5), (1.0)) AS c(relevance), (VALUES (false, false), (true, false), (false, true)) AS d(missing, live)),
