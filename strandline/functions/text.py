@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandline.functions.vocab import STOPWORDS
-
 
 def squash(c: Column) -> Column:
     """White space runs to one space, trimmed, lower case."""
@@ -19,14 +17,6 @@ def stem(c: Column) -> Column:
     return F.when(plural, c.substr(F.lit(1), F.length(c) - 1)).otherwise(c)
 
 
-def terms(c: Column, stopwords: list[str] | None = None) -> Column:
-    """Index terms of a text in order: ASCII words of two letters or more, without stopwords, stemmed."""
-    stop = F.array(*(F.lit(w) for w in (STOPWORDS if stopwords is None else stopwords)))
-    words = F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+")
-    kept = F.filter(words, lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
-    return F.transform(kept, stem)
-
-
 def sentences(c: Column, least: int = 30, most: int = 420) -> Column:
     """Sentences of a text after soft line wraps are joined; only lengths ``least`` to ``most`` stay."""
     joined = F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*\n\s*", " ")

@@ -156,3 +156,6 @@ QUESTION_KINDS = [
     ("average", r"\b(average|mean|median)\b"),
 ]
 WORTH_KINDS, EXTRACTABLE_TYPES = ["record", "incident_section", "prose", "precondition"], ["incident_report", "moc"]
+
+# A piece that is a reference as a whole.
+WHOLE_REFERENCE = r"(?i)^(?:OISD(?:-STD)?|SOP|WO|MOC|CAPA|NCR|INC|API|ISO|IEC|PTW|JSA|HAZOP)[-\s]?\d{2,6}(?:[-/]\d{1,4})?$"

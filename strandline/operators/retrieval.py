@@ -2,58 +2,117 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.text import covers, terms
+from strandline.functions.terms import Terms, terms
+from strandline.functions.text import covers
 from strandline.functions.vocab import (
     ANSWER_THRESHOLD, BM25_B, BM25_K1, CAVEAT_THRESHOLD, CONFIDENCE_WEIGHTS, DEFAULT_INTENT, GATE_CEILING, INTENT_RULES, INTENT_WEIGHTS, NO_GRAPH,
     RELEVANCE_FLOOR, RRF_K, SUB_QUESTION_DISCOUNT,
 )
-from strandline.runtime import shared_table, ship
+from strandline.runtime import drop_shared, shared_table, ship
 
 
 # -- lexical ------------------------------------------------------------------
 
 
+_LISTED = pa.schema([("length", pa.int64()), ("terms", pa.list_(pa.string())), ("tf", pa.list_(pa.int64()))])
+
+
+def _listed(only: set[str] | None):
+    def run(batches):
+        of = Terms()
+        for t in batches:
+            length, names, counts = [], [], []
+            for text in t.column(1):
+                words = of(text.as_py())
+                length.append(len(words))
+                n = Counter(words if only is None else [w for w in words if w in only])
+                names.append(list(n.keys()))
+                counts.append(list(n.values()))
+            yield pa.RecordBatch.from_arrays([t.column(0), *(pa.array(x, f.type) for x, f in zip((length, names, counts), _LISTED, strict=True))], names=["id", "length", "terms", "tf"])
+
+    return run
+
+
+def listed(docs: DataFrame, id_col: str, text_col: str, only: list[str] | None = None) -> DataFrame:
+    """(id, length, terms, tf): one row a text, from one walk over it. With ``only``, other terms are counted in the length and not listed."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_listed(None if only is None else set(only)), f"id {rows.schema['id'].dataType.simpleString()}, length long, terms array<string>, tf array<long>")
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str, only: list[str] | None = None) -> DataFrame:
-    """(id, term, tf, length). With ``only``, other terms are left out before anything is counted or moved.
+    """(id, term, tf, length). A text is one row, so terms need no shuffle at all."""
+    return _postings(listed(docs, id_col, text_col, only))
 
-    The length is that of the whole text. Rows are summed where they are: a text is one
-    row, so terms need no shuffle at all.
-    """
-    words = docs.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("w")).withColumn("length", F.size("w"))
-    if only is not None:
-        keep = F.array(*(F.lit(t) for t in only))
-        words = words.withColumn("w", F.filter("w", lambda x: F.array_contains(keep, x)))
-    each = words.select("id", "length", "w", F.explode(F.array_distinct("w")).alias("term"))
-    return each.select("id", "term", F.size(F.filter("w", lambda x: x == F.col("term"))).cast("long").alias("tf"), "length")
 
+def _postings(lists: DataFrame) -> DataFrame:
+    each = lists.select("id", "length", F.explode(F.arrays_zip("terms", "tf")).alias("x"))
+    return each.select("id", F.col("x.terms").alias("term"), F.col("x.tf").alias("tf"), "length")
 
-def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: number of texts, index terms, and average length, none below zero."""
-    n = F.size(terms(F.col(text_col)))
-    return docs.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("tokens")).withColumn(
+
+def _stats(lists: DataFrame) -> DataFrame:
+    return lists.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("tokens")).withColumn(
         "avgdl", F.round(F.col("tokens") / F.greatest(F.col("chunks"), F.lit(1)), 2)
     )
 
 
+def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
+    """One row: number of texts, index terms, and average length, none below zero."""
+    return _stats(listed(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), "id", "text", []))
+
+
+#: Folders of a stored index; a question reads those of its terms.
+INDEX_BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(INDEX_BUCKETS)).cast("int")
+
+
+def write_index(docs: DataFrame, path: str, id_col: str, text_col: str) -> None:
+    """Postings by bucket of the term, and one row of corpus figures, below ``path``. Common terms are dealt over several files."""
+    lists = shared_table(listed(docs, id_col, text_col), "index-lists")
+    rows = _postings(lists).withColumn("bucket", _bucket(F.col("term")))
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
+    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    _stats(lists).write.parquet(f"{path}/stats")
+    drop_shared(lists)
+
+
 def bm25(docs: DataFrame, id_col: str, text_col: str, questions: DataFrame, k: int, k1: float = BM25_K1, b: float = BM25_B, allowed: Column | None = None) -> DataFrame:
     """(qid, id, score, matched_terms, rank) of the best ``k`` texts of each question.
 
     ``questions`` is a small stated set (qid, question); its distinct terms are
-    fetched so that the scan keeps only postings that some question asks for.
-    Document frequencies count all texts, also those that ``allowed`` rules out.
+    fetched so that the one walk over the texts keeps only postings that some question
+    asks for. Document frequencies count all texts, also those that ``allowed`` rules out.
     """
-    asked = questions.select("qid", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"))
+    asked = shared_table(questions.select("qid", F.explode(F.array_distinct(terms(F.col("question")))).alias("term")), "asked")
     wanted = sorted(r["term"] for r in asked.select("term").distinct().collect())
-    hits = postings(docs, id_col, text_col, wanted)
+    lists = shared_table(listed(docs, id_col, text_col, wanted), "lists")
+    among = None if allowed is None else docs.filter(allowed).select(F.col(id_col).alias("id"))
+    return _ranked(_postings(lists), _stats(lists), asked, k, k1, b, among)
+
+
+def bm25_indexed(spark, path: str, questions: DataFrame, k: int, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """Like ``bm25`` from a stored index: only the folders of the questions' terms are read, and no text."""
+    asked = shared_table(questions.select("qid", F.explode(F.array_distinct(terms(F.col("question")))).alias("term")), "asked")
+    found = asked.select("term", _bucket(F.col("term")).alias("bucket")).distinct().collect()
+    hits = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin([r["bucket"] for r in found]) & F.col("term").isin([r["term"] for r in found]))
+    return _ranked(hits.select("id", "term", "tf", "length"), spark.read.parquet(f"{path}/stats"), asked, k, k1, b)
+
+
+def _ranked(hits: DataFrame, stats: DataFrame, asked: DataFrame, k: int, k1: float, b: float, among: DataFrame | None = None) -> DataFrame:
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(docs, text_col).select(F.greatest("chunks", F.lit(1)).alias("n"), F.greatest(F.col("tokens") / F.greatest("chunks", F.lit(1)), F.lit(1.0)).alias("avg"))
-    if allowed is not None:
-        hits = hits.join(docs.filter(allowed).select(F.col(id_col).alias("id")), "id", "left_semi")
+    stats = stats.select(F.greatest("chunks", F.lit(1)).alias("n"), F.greatest(F.col("tokens") / F.greatest("chunks", F.lit(1)), F.lit(1.0)).alias("avg"))
+    if among is not None:
+        hits = hits.join(among, "id", "left_semi")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg")))
     scored = (

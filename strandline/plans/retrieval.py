@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.functions.text import contains_quote, jaccard, sentences, terms
-from strandline.functions.vocab import RRF_K, STOPWORDS
+from strandline.functions.terms import terms
+from strandline.functions.text import contains_quote, jaccard, sentences
+from strandline.functions.vocab import EQUIPMENT_CLASSES, ISA_FIRST, ISA_SUCCEEDING, RRF_K, STOPWORDS
 from strandline.operators import retrieval as R
 from strandline.plans.tables import table
+from strandline.runtime import shared_path
 
-# The SQL side repeats the term rule: ASCII words of two letters or more, no stopwords, plural s off.
+# The SQL side repeats the term rule for pieces that are no tags: spaced tags joined, cut, edges off, no stopwords, two characters or more, plural s off.
 _STOP = "[" + ",".join(f"'{w}'" for w in STOPWORDS) + "]"
+_FIRST, _LATER = "".join(ISA_FIRST), "".join(ISA_SUCCEEDING)
 
 
 def _terms_sql(text: str) -> str:
-    words = f"list_filter(string_split_regex(lower(coalesce({text}, '')), '[^a-z0-9]+'), lambda w: length(w) >= 2 AND NOT list_contains({_STOP}, w))"
+    apart = rf"regexp_replace(coalesce({text}, ''), '(?i)\b({'|'.join(STOPWORDS)})\s+([0-9]{{2,5}})', '\1 ' || chr(1) || ' \2', 'g')"
+    whole = rf"regexp_replace({apart}, '(?i)\b({'|'.join(EQUIPMENT_CLASSES)}|[{_FIRST}][{_LATER}]{{0,3}})\s+([0-9]{{2,5}})(?:\s*([A-Za-z]))?\b', '\1-\2\3', 'g')"
+    pieces = rf"""list_transform(string_split_regex({whole}, '[^A-Za-z0-9"''’\-‐-―_/.]+'), lambda p: lower(regexp_replace(p, '^[\-_.''"’]+|[\-_.''"’]+$', '', 'g')))"""
+    words = f"list_filter({pieces}, lambda w: length(w) >= 2 AND NOT list_contains({_STOP}, w))"
     return (
         f"list_transform({words}, lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' AND w NOT LIKE '%us' AND w NOT LIKE '%is' "
         "THEN substr(w, 1, length(w) - 1) ELSE w END)"
@@ -47,6 +53,23 @@ def bm25_doc_filter(spark, sf):
     return out.select("qid", "id", F.round("score", 6).alias("score"), "matched_terms", F.col("rank").cast("long").alias("rank"))
 
 
+def bm25_from_index(spark, sf):
+    """``bm25_topk`` from an index that is written first; questions read their terms' folders only."""
+    path = shared_path(spark, "index")
+    R.write_index(table(spark, sf, "documents"), path, "doc_id", "text")
+    out = R.bm25_indexed(spark, path, questions(spark), 50)
+    return out.select("qid", "id", F.round("score", 6).alias("score"), "matched_terms", F.col("rank").cast("long").alias("rank"))
+
+
+def tag_terms(spark, sf):
+    """Terms of a note of every order that are tags or references, in order."""
+    from strandline.plans.extraction import NOTE
+
+    note = F.concat(F.expr(NOTE), F.lit("; p "), 100 + F.col("o_custkey") % 900, F.lit(" b and Pumps"))
+    t = table(spark, sf, "orders").select("o_orderkey", terms(note).alias("t"))
+    return t.select("o_orderkey", F.array_join(F.filter("t", lambda x: x.rlike(r"^(wo|sop|p|pump)\b")), "|").alias("terms"))
+
+
 def lexical_corpus_stats(spark, sf):
     return R.corpus_stats(table(spark, sf, "documents"), "text")
 
@@ -156,7 +179,8 @@ def idf_weighted_relevance(spark, sf):
     df = R.document_frequencies(table(spark, sf, "documents"), "doc_id", "text", wanted)
     most = df.agg(F.max("df").alias("most"))
     idf = df.join(F.broadcast(most)).agg(F.map_from_entries(F.collect_list(F.struct("term", R.idf_weight(F.col("df"), F.col("most"))))).alias("idf"))
-    scored = R.relevance(F.array_distinct(terms(F.col("question"))), terms(F.col("answer")), F.col("idf"))
+    q = q.withColumns({"asked": F.array_distinct(terms(F.col("question"))), "given": terms(F.col("answer"))})
+    scored = R.relevance(F.col("asked"), F.col("given"), F.col("idf"))
     return q.join(F.broadcast(idf)).select("qid", F.round(scored, 6).alias("relevance"))
 
 
@@ -215,7 +239,7 @@ def confidence_score(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     bm25_topk, bm25_doc_filter, lexical_corpus_stats, document_frequency_zero_filled, unknown_terms_antijoin, vector_topk_cosine, vector_best_per_group, vector_topk_cosine_whole, vector_best_per_group_whole, rrf_fusion, rrf_intent_weighted,
-    rrf_subquestion_discount, hydrate_ranked, idf_weighted_relevance, sentence_scoring, jaccard_overlap, verbatim_containment, intent_routing, confidence_score,
+    bm25_from_index, tag_terms, rrf_subquestion_discount, hydrate_ranked, idf_weighted_relevance, sentence_scoring, jaccard_overlap, verbatim_containment, intent_routing, confidence_score,
 )}
 
 _WANTED_SQL = "(VALUES " + ", ".join(f"('{w}')" for w in _WANTED) + ") AS w(term)"
@@ -223,6 +247,8 @@ _NOUN_SQL = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in _NOUNS) + ") AS q
 _SQUASH = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
 SQL = {
     "bm25_topk": f"WITH {_TERMS}, {_SCORED.format(filter='')} SELECT qid, id, round(score, 6) AS score, matched_terms, rank FROM ranked WHERE rank <= 50",
+    "bm25_from_index": f"WITH {_TERMS}, {_SCORED.format(filter='')} SELECT qid, id, round(score, 6) AS score, matched_terms, rank FROM ranked WHERE rank <= 50",
+    "tag_terms": """SELECT o_orderkey, 'wo-' || o_orderkey || '|p-' || (100 + o_custkey % 900) || CASE WHEN o_custkey % 3 = 0 THEN 'a' ELSE 'b' END || '|sop' || CASE WHEN o_orderkey % 4 = 0 THEN '|p-' || (100 + o_custkey % 50) ELSE '' END || '|p-' || (100 + o_custkey % 900) || 'b|pump' AS terms FROM orders""",
     "bm25_doc_filter": f"WITH {_TERMS}, {_SCORED.format(filter='WHERE id IN (SELECT doc_id FROM documents WHERE lang = ' + chr(39) + 'en' + chr(39) + ')')} SELECT qid, id, round(score, 6) AS score, matched_terms, rank FROM ranked WHERE rank <= 20",
     "lexical_corpus_stats": f"SELECT count(*) AS chunks, CAST(sum(len({_terms_sql('text')})) AS BIGINT) AS tokens, round(sum(len({_terms_sql('text')})) / greatest(count(*), 1), 2) AS avgdl FROM documents",
     "document_frequency_zero_filled": f"SELECT term, (SELECT count(*) FROM documents WHERE list_contains({_terms_sql('text')}, w.term)) AS df FROM {_WANTED_SQL}",

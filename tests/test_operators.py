@@ -102,3 +102,45 @@ def test_refused_files(spark, tmp_path):
     assert S.accept(f, spark.createDataFrame([], "content_hash string")).count() == 1
     known = f.select(F.sha2("content", 256).alias("content_hash")).filter(F.col("content_hash").isNotNull())
     assert S.accept(f, known).count() == 0
+
+
+def test_terms_keep_tags_and_references(spark):
+    from strandline.functions.terms import Terms, tag_of
+
+    of = Terms()
+    assert of("Pump P-101B, P 101 B and the 101 b; see SOP-4412 of 10LAC20AP001") == ["pump", "p-101b", "p-101b", "101", "see", "sop-4412", "10lac20ap001"]
+    assert of("PIC 101 trips; it 42 classes of bus") == ["pic-101", "trip", "42", "classe", "bus"]
+    assert of(None) == of("") == of(" -- ") == []
+    surfaces = ["P-101B", "p_101_b", "Pump-0101-B", "HX/204", "PIC-101", "10LAC20AP001", '6"-P-1501-A1A', "the-B-pump", "Ｐ－101B", "2024-01-02", "10-P-101-B", "CDU1-P-101", "TK-201", "101", "XQ9"]
+    t = T.with_tag(spark.createDataFrame([(s,) for s in surfaces], "surface string"), "surface", "t")
+    for r in t.select("surface", "t.kind", T.canonical(F.col("t")).alias("c")).collect():
+        assert tag_of(r["surface"]) == (None if r["kind"] == "unparsed" else r["c"]), r["surface"]
+
+
+def test_supersession_is_by_level(spark):
+    rows = spark.createDataFrame([("s", 1, 10), ("s", 2, 10), ("s", 3, 20), ("s", 4, 30), ("s", 5, 30), ("x", 6, None)], "series string, id long, day int")
+    got = {r["id"]: (r["superseded_by"], r["valid_to"], r["is_current"]) for r in R.supersede(rows, "series", "id", "day").collect()}
+    assert got == {1: (3, 20, False), 2: (3, 20, False), 3: (4, 30, False), 4: (None, None, True), 5: (None, None, True), 6: (None, None, True)}
+
+
+def test_quotes_anywhere_in_a_text(spark, monkeypatch):
+    from strandline.operators import documents
+
+    docs = spark.createDataFrame([(1, "He said two plus\n two is FOUR."), (2, "two plus"), (3, None), (4, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "plus two is fo"), (8, "two plus"), (9, ""), (10, None), (11, "e"), (8, "two  plus")], "item_id long, text string")
+    want = {(1, 7), (1, 8), (2, 8), (1, 11)}
+    for size in (4 << 20, 5):
+        monkeypatch.setattr(documents, "QUOTE_BYTES", size)
+        got = [tuple(r) for r in documents.quoted(docs, "doc_id", "text", items, "item_id", "text").collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_cleaned_fields(spark):
+    from strandline.functions import extract as E
+
+    row = spark.range(1).select(
+        E.safe_filename(F.lit("C:\\a\\..\\b?:<x>.pdf .")).alias("a"), E.safe_filename(F.lit("../..")).alias("b"), E.status(F.lit(" moderate -- 22 hours")).alias("c"), E.status(F.lit(" , x")).alias("d"),
+        E.title(F.lit(None), F.lit("my_file-2.tar.gz")).alias("e"), E.expanded(F.lit("WO: vib/temp, s/d. pump")).alias("f"), E.without_fence(F.lit("```json\n{}\n```")).alias("g"),
+        F.array_join(E.references(F.lit("SOP4412, wo 12, OISD-STD-105; XSOP-1 API a")), "|").alias("h"), E.first_date(F.lit("x"), F.lit("31/02/2024 and 5 Mar 2021")).cast("string").alias("i"),
+    ).first()
+    assert tuple(row) == ("bx.pdf", "unnamed", "MODERATE", None, "my file 2.tar", "work order: vib/temp, shutdown. pump", "{}", "SOP-4412|OISD-STD-105", "2021-03-05")
