@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -36,13 +37,17 @@ class ChunkTokenizer:
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def word(self, part: str) -> bytes:
+        """Ids of a part that the tokenizer's split leaves whole."""
+        return array("I", [x.id for x in self.model.tokenize(part)]).tobytes()
+
     def plain(self, chunk: bytes) -> bytes:
         """Ids of a chunk of printable ASCII: lower case, split as the tokenizer splits, each part through its model."""
         out = []
         for part in ASCII_PARTS.findall(chunk.decode().lower()):
-            ids = self.parts.get(part)
+            ids = self.parts.get(part) or self.known.get(part.encode())
             if ids is None:
-                ids = np.array([x.id for x in self.model.tokenize(part)], "<u4").tobytes()
+                ids = self.word(part)
                 if len(part) < 4:
                     self.parts[part] = ids
             out.append(ids)
@@ -53,12 +58,18 @@ class ChunkTokenizer:
 
         A chunk that holds an added token of the vocabulary goes through the library by itself.
         """
-        rest = []
-        for c in chunks:
-            if any(x in c.lower() for x in self.added):
-                self.known[c] = np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        together, rest, known = b" ".join(chunks).lower(), [], self.known
+        if any(x in together for x in self.added):
+            for c in [c for c in chunks if any(x in c.lower() for x in self.added)]:
+                known[c] = np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            chunks = [c for c in chunks if c not in known]
+        for c in sorted(chunks, key=bytes.isalpha, reverse=True):
+            if c.isalpha():  # ASCII letters alone are one part, which other chunks may hold too
+                low = c.lower()
+                ids = known.get(low)
+                known[c] = self.word(low.decode()) if ids is None else ids
             elif c.isascii() and c.decode().isprintable():
-                self.known[c] = self.plain(c)
+                known[c] = self.plain(c)
             else:
                 rest.append(c)
         chunks = rest
