@@ -110,6 +110,11 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
     return _TOKENIZERS[path]
 
 
+def forget() -> None:
+    """Give up the tokenizers of this worker process, for work that follows without them."""
+    _TOKENIZERS.clear()
+
+
 def vocabulary(name: str) -> str:
     """Path of a public vocabulary file, looked up where the task runs."""
     import public_tokenizers

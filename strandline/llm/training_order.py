@@ -36,21 +36,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.textkit import U64, mix, texts
-from strandline.llm.tokens import chunk_tokenizer, vocabulary
+from strandline.llm.tokens import chunk_tokenizer, forget, vocabulary
 from strandline.runtime import drop_shared, shared_path, shared_table, ship
 
 LENGTH = 512
 #: Vocabulary of the query, and the end and padding ids of all vocabularies but ``bytes``.
 VOCAB, VOCAB_END, VOCAB_PAD = "word_bpe_49k.json", 1, 0
-#: Records of a shard: 17 MB at two bytes an id.
-ROWS = 16384
+#: Records of a shard: 8.5 MB at two bytes an id.
+ROWS = 8192
 #: Tasks that build shards, about, once there are as many shards.
 TASKS = 4096
 ROUNDS = 6
 KEY = 20240229
 PAD, END = 254, 255
 #: Bytes of sequences that a map task gathers before it sends blobs.
-GATHER = 1 << 25
+GATHER = 1 << 23
 
 
 def feistel(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
@@ -131,9 +131,10 @@ def record_type(vocab: str, length: int) -> np.dtype:
 
 def _send(vocab: str, length: int, rows: int, n: int, key: int):
     """Compressed records by shard, from rows (number, doc_id, ids)."""
+    kind = record_type(vocab, length)
 
     def run(batches):
-        kind = record_type(vocab, length)
+        forget()  # the worker may have tokenized before; ids need no words
         pad = PAD if vocab == "bytes" else VOCAB_PAD
         held, size = [], 0
 
@@ -188,6 +189,7 @@ def _shards(rows: int, n: int, stride: int):
         return pa.record_batch([pa.array([shard], pa.int64()), pa.array([records.reshape(-1, stride)[order].tobytes()], pa.binary())], schema=schema)
 
     def run(batches):
+        forget()
         now, held = None, []
         for t in batches:
             for shard, *blobs in zip(*(t.column(c).to_pylist() for c in ("shard", "slots", "records")), strict=True):
@@ -207,7 +209,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     ship(spark)
     texts_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = shared_table(texts_.mapInArrow(_ids(vocab, length), _IDS_SQL), "training-ids")
+    ids = shared_table(texts_.mapInArrow(_ids(vocab, length), _IDS_SQL), "training-ids", "zstd")
     width = _id_type(vocab).itemsize
     counts = ids.groupBy("part").agg(F.sum(F.ceil(F.octet_length("ids") / (width * length))).alias("n"))
     # one row for each task that wrote ids, whatever the texts
