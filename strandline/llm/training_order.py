@@ -96,8 +96,19 @@ def _encoded(column, vocab: str):
             yield np.append(np.frombuffer(packed, "<u4"), VOCAB_END).astype(kind)
 
 
-_IDS_SQL = "part int, number long, doc_id long, ids binary"
-_IDS = pa.schema([("part", pa.int32()), ("number", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+# The lowest bytes of ids and the others are stored apart, because each alone compresses better.
+_IDS_SQL = "part int, number long, doc_id long, low binary, high binary"
+_IDS = pa.schema([("part", pa.int32()), ("number", pa.int64()), ("doc_id", pa.int64()), ("low", pa.binary()), ("high", pa.binary())])
+
+
+def planes(data: bytes, width: int) -> bytes:
+    """Bytes of equal place in items of ``width`` bytes, one place after another."""
+    return np.frombuffer(data, np.uint8).reshape(-1, width).T.tobytes()
+
+
+def items(data: bytes, width: int) -> bytes:
+    """The reverse of ``planes``."""
+    return np.frombuffer(data, np.uint8).reshape(width, -1).T.tobytes()
 
 
 def _ids(vocab: str, length: int):
@@ -108,7 +119,8 @@ def _ids(vocab: str, length: int):
         for t in batches:
             rows, held = [], 0
             for doc, ids in zip(t.column("doc_id").to_pylist(), _encoded(t.column("text"), vocab), strict=True):
-                rows.append((part, number, doc, ids.tobytes()))
+                cut = planes(ids.tobytes(), ids.itemsize)
+                rows.append((part, number, doc, cut[: len(ids)], cut[len(ids) :]))
                 number += -(-len(ids) // length)
                 held += ids.nbytes
                 if held > 1 << 22:
@@ -130,8 +142,9 @@ def record_type(vocab: str, length: int) -> np.dtype:
 
 
 def _send(vocab: str, length: int, rows: int, n: int, key: int):
-    """Compressed records by shard, from rows (number, doc_id, ids)."""
+    """Compressed records by shard, from rows (number, doc_id, low, high)."""
     kind = record_type(vocab, length)
+    width = kind["ids"].base.itemsize
 
     def run(batches):
         forget()  # the worker may have tokenized before; ids need no words
@@ -148,12 +161,12 @@ def _send(vocab: str, length: int, rows: int, n: int, key: int):
             end = np.concatenate((start[1:], [len(shard)]))
             for at in range(0, len(start), 64):
                 spans = list(zip(start[at : at + 64], end[at : at + 64], strict=True))
-                pack = lambda x: pa.array([zlib.compress(x[i:j].tobytes(), 1) for i, j in spans], pa.binary())
-                yield pa.record_batch([pa.array([int(shard[i]) for i, _ in spans], pa.int64()), pack(slots), pack(block)], schema=_SENT)
+                pack = lambda x, width: pa.array([zlib.compress(planes(x[i:j].tobytes(), width), 1) for i, j in spans], pa.binary())
+                yield pa.record_batch([pa.array([int(shard[i]) for i, _ in spans], pa.int64()), pack((slots % rows).astype(np.uint32), 4), pack(block, width)], schema=_SENT)
 
         for t in batches:
-            for number, doc, packed in zip(t.column("number").to_pylist(), t.column("doc_id").to_pylist(), t.column("ids"), strict=True):
-                ids = np.frombuffer(packed.as_buffer(), kind["ids"].base)
+            for number, doc, low, high in zip(*(t.column(c).to_pylist() for c in ("number", "doc_id", "low", "high")), strict=True):
+                ids = np.frombuffer(items(low + high, width), kind["ids"].base)
                 many = -(-len(ids) // length)
                 block = np.zeros(many, kind)
                 block["doc_id"] = 0 if doc is None else doc
@@ -176,15 +189,16 @@ def _send(vocab: str, length: int, rows: int, n: int, key: int):
     return run
 
 
-def _shards(rows: int, n: int, stride: int):
+def _shards(rows: int, n: int, stride: int, width: int):
     """Whole shards from rows in the order of their shards."""
     schema = pa.schema([("shard", pa.int64()), ("value", pa.binary())])
 
     def build(shard: int, held: list[tuple[bytes, bytes]]):
-        slots, records = (np.frombuffer(b"".join(zlib.decompress(x[k]) for x in held), kind) for k, kind in ((0, np.int64), (1, np.uint8)))
+        places = ((0, 4, np.uint32), (1, width, np.uint8))
+        slots, records = (np.frombuffer(b"".join(items(zlib.decompress(x[k]), size) for x in held), kind) for k, size, kind in places)
         order = np.argsort(slots)
         want = min(rows, n - shard * rows)
-        if len(slots) != want or (slots[order] != np.arange(shard * rows, shard * rows + want)).any():
+        if len(slots) != want or (slots[order] != np.arange(want)).any():
             raise RuntimeError(f"shard {shard} has {len(slots)} records for {want} slots")
         return pa.record_batch([pa.array([shard], pa.int64()), pa.array([records.reshape(-1, stride)[order].tobytes()], pa.binary())], schema=schema)
 
@@ -210,19 +224,18 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     ship(spark)
     texts_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ids = shared_table(texts_.mapInArrow(_ids(vocab, length), _IDS_SQL), "training-ids", "zstd")
-    width = _id_type(vocab).itemsize
-    counts = ids.groupBy("part").agg(F.sum(F.ceil(F.octet_length("ids") / (width * length))).alias("n"))
+    counts = ids.groupBy("part").agg(F.sum(F.ceil(F.octet_length("low") / length)).alias("n"))
     # one row for each task that wrote ids, whatever the texts
     firsts = shared_table(counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), "n"), "training-firsts")
     n = firsts.agg(F.sum("n")).first()[0]
     if not n:
         return 0
-    numbered = ids.join(F.broadcast(firsts.select("part", "before")), "part").select((F.col("number") + F.col("before")).alias("number"), "doc_id", "ids")
+    numbered = ids.join(F.broadcast(firsts.select("part", "before")), "part").select((F.col("number") + F.col("before")).alias("number"), "doc_id", "low", "high")
     sent = numbered.mapInArrow(_send(vocab, length, rows, n, key), _SENT_SQL)
     shards = -(-n // rows)
     each = -(-shards // min(shards, TASKS))
     ranged = sent.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("shard")
-    built = ranged.mapInArrow(_shards(rows, n, record_type(vocab, length).itemsize), "shard long, value binary")
+    built = ranged.mapInArrow(_shards(rows, n, record_type(vocab, length).itemsize, _id_type(vocab).itemsize), "shard long, value binary")
     # The text sink writes the bytes of a row as they are, and a line feed after the last record.
     built.select("shard", F.col("value").cast("string")).write.partitionBy("shard").text(path)
     drop_shared(ids)
