@@ -42,7 +42,7 @@ def shared_table(df: DataFrame, name: str, compression: str = "snappy") -> DataF
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", "9").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
