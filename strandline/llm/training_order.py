@@ -27,10 +27,9 @@ sequences of one row. An empty table writes no shard. Further columns play no pa
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,6 +134,7 @@ def _send(vocab: str, length: int, rows: int, n: int, key: int):
 
     def run(batches):
         forget()  # the worker may have tokenized before; ids need no words
+        squeeze = zstandard.ZstdCompressor(9).compress
         pad = PAD if vocab == "bytes" else VOCAB_PAD
         held, size = [], 0
 
@@ -148,7 +148,7 @@ def _send(vocab: str, length: int, rows: int, n: int, key: int):
             end = np.concatenate((start[1:], [len(shard)]))
             for at in range(0, len(start), 64):
                 spans = list(zip(start[at : at + 64], end[at : at + 64], strict=True))
-                pack = lambda x: pa.array([zlib.compress(x[i:j].tobytes(), 1) for i, j in spans], pa.binary())
+                pack = lambda x: pa.array([squeeze(x[i:j].tobytes()) for i, j in spans], pa.binary())
                 yield pa.record_batch([pa.array([int(shard[i]) for i, _ in spans], pa.int64()), pack(slots), pack(block)], schema=_SENT)
 
         for t in batches:
@@ -181,7 +181,7 @@ def _shards(rows: int, n: int, stride: int):
     schema = pa.schema([("shard", pa.int64()), ("value", pa.binary())])
 
     def build(shard: int, held: list[tuple[bytes, bytes]]):
-        slots, records = (np.frombuffer(b"".join(zlib.decompress(x[k]) for x in held), kind) for k, kind in ((0, np.int64), (1, np.uint8)))
+        slots, records = (np.frombuffer(b"".join(zstandard.decompress(x[k]) for x in held), kind) for k, kind in ((0, np.int64), (1, np.uint8)))
         order = np.argsort(slots)
         want = min(rows, n - shard * rows)
         if len(slots) != want or (slots[order] != np.arange(shard * rows, shard * rows + want)).any():
