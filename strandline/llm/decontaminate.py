@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.ppm import Lookup
-from strandline.llm.textkit import LOWER, U64, slices, span_hashes, texts
+from strandline.llm.textkit import LOWER, U64, slices, span_hashes, texts, thrifty
 from strandline.runtime import shared_table, ship
 
 Q = 8
@@ -327,7 +327,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = [rows.mapInArrow(_search(spark.sparkContext.broadcast(block)), _HITS_SQL) for block in blocks_of(benchmark, item_col, item_text)]
+    found = [rows.mapInArrow(thrifty(_search(spark.sparkContext.broadcast(block))), _HITS_SQL) for block in blocks_of(benchmark, item_col, item_text)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _HITS_SQL)
 
 
@@ -350,7 +350,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 keep[[i for i, *_ in search(items, t.column(at))]] = False
                 yield t.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(thrifty(run), docs.schema)
     return docs
 
 

@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import bitmap
 from strandline.llm.components import components
-from strandline.llm.textkit import U64, mix, word_hashes
+from strandline.llm.textkit import U64, give_back, mix, thrifty, word_hashes
 from strandline.runtime import join_groups, shared_table, ship
 
 WORDS = 5
@@ -270,6 +270,12 @@ def _runs(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(run), pa.array(node), pa.array(first), pa.array(weight)], schema=_RUNS)
 
 
+def _bucket_runs(table: pa.Table) -> pa.Table:
+    out = _runs(table)
+    give_back()
+    return out
+
+
 def _cells(x: np.ndarray) -> bytes:
     """How many members fall in each of ``CELLS`` hash cells, at most 255 told."""
     return np.minimum(np.bincount((mix(x) >> U64(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
@@ -484,7 +490,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ship(spark)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    described = shared_table(narrow.mapInArrow(_describe, f"doc_id {kind}, n_shingles long, node long"), "jaccard-sets")
+    described = shared_table(narrow.mapInArrow(thrifty(_describe), f"doc_id {kind}, n_shingles long, node long"), "jaccard-sets")
     classes = described.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n")
     )
@@ -492,15 +498,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = int(min(65536, max(64, 0.6 * total / PER_BUCKET)))
 
-    blobs = narrow.select("text").mapInArrow(_blobs(buckets, num, den), "bucket int, low binary, high binary, nodes binary")
-    runs = blobs.groupBy("bucket").applyInArrow(lambda t: _runs(t), "run long, node long, first long, weight long")
+    blobs = narrow.select("text").mapInArrow(thrifty(_blobs(buckets, num, den)), "bucket int, low binary, high binary, nodes binary")
+    runs = blobs.groupBy("bucket").applyInArrow(lambda t: _bucket_runs(t), "run long, node long, first long, weight long")
     runs = shared_table(runs, "jaccard-runs")
 
     def contents(nodes: DataFrame, describe) -> DataFrame:
         """(node, n, description) of the sets in ``nodes``, from the texts of one row each."""
         reps = classes.join(nodes, "node", "left_semi")
         chosen = bitmap.probe(narrow, bitmap.build(reps, "rep"), "doc_id").filter("_may").select("text")
-        return chosen.mapInArrow(_contents(describe), "node long, n long, members binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        return chosen.mapInArrow(thrifty(_contents(describe)), "node long, n long, members binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     cells = shared_table(contents(runs.select("node").distinct(), _cells), "jaccard-cells")
 
@@ -510,7 +516,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             pairs.join(cells.toDF("a", "na", "ca"), "a")
             .join(cells.toDF("b", "nb", "cb"), "b")
             .filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-            .mapInArrow(_near(num, den), "a long, b long")
+            .mapInArrow(thrifty(_near(num, den)), "a long, b long")
         )
         near = shared_table(near, f"{name}-near")
 
@@ -519,8 +525,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             of = shared_table(contents(nodes, describe), f"{name}-sets")
             return pairs.join(of.toDF("a", "na", "ma"), "a").join(of.toDF("b", "nb", "mb"), "b").select("a", "b", "na", "nb", "ma", "mb")
 
-        nearer = shared_table(described(near, _fine).mapInArrow(_nearer(num, den), "a long, b long"), f"{name}-nearer")
-        return shared_table(described(nearer, bytes).mapInArrow(_verify(num, den), "a long, b long, linked boolean"), name)
+        nearer = shared_table(described(near, _fine).mapInArrow(thrifty(_nearer(num, den)), "a long, b long"), f"{name}-nearer")
+        return shared_table(described(nearer, bytes).mapInArrow(thrifty(_verify(num, den)), "a long, b long, linked boolean"), name)
 
     def labelled(links: DataFrame) -> DataFrame:
         return components(links.filter("linked"))

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.jaccard_join import shingle_sets
-from strandline.llm.textkit import LOWER, U64, slices, span_hashes, texts
+from strandline.llm.textkit import LOWER, U64, slices, span_hashes, texts, thrifty
 from strandline.runtime import drop_shared, shared_table, ship
 
 STEM_BYTES = 5
@@ -285,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     chosen = first(rows.select("rank", "id", "key", "label").distinct(), "rank", "id", "key")
     chosen = shared_table(chosen.select("rank", "id", "key", "label"), "toxicity-keys")
     # a drawn doc_id may hold a third of all rows, but of equal ones only the first gets through each task
-    texts_ = rows.join(F.broadcast(chosen.select("key")), "key", "left_semi").select("key", "text").mapInArrow(_described, "key long, features binary, near long")
+    texts_ = rows.join(F.broadcast(chosen.select("key")), "key", "left_semi").select("key", "text").mapInArrow(thrifty(_described), "key long, features binary, near long")
     sample = shared_table(texts_.groupBy("key").agg(F.first("features").alias("features"), F.first("near").alias("near")), "toxicity-sample")
 
     got = chosen.join(sample.select("key", "near"), "key").select("rank", "id", "key", "label", "near").orderBy("rank", "id", "key").collect()
@@ -307,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     place = spark.createDataFrame([(r["key"], number[int(f), r["label"]]) for f, r in zip(s.fold, kept, strict=True)], "key long, cell int")
     train = sample.select("key", "features").join(F.broadcast(place), "key")
     names = [f"n{i}" for i in range(len(cells))]
-    tallies = train.select("features", "cell").mapInArrow(_counted(len(cells)), "feature long, " + ", ".join(f"{x} long" for x in names))
+    tallies = train.select("features", "cell").mapInArrow(thrifty(_counted(len(cells))), "feature long, " + ", ".join(f"{x} long" for x in names))
     tallies = shared_table(tallies.groupBy("feature").agg(*(F.sum(x).alias(x) for x in names)), "toxicity-features")
     wanted = [(c, f) for c in range(many) if s.varies(c) for f in (-1, *range(s.folds))]
     best: dict[tuple[int, int], list[int]] = {x: [] for x in wanted}
@@ -315,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
         best[r["c"], r["f"]].append(r["feature"])
     picked = {x: np.sort(np.array(v, np.int64).view(U64)) for x, v in best.items()}
     s.keys = np.unique(np.concatenate([np.zeros(0, U64), *picked.values()]))
-    bits = dict(train.select("key", "features").mapInArrow(_bits_of(s.keys), "key long, bits binary").collect())
+    bits = dict(train.select("key", "features").mapInArrow(thrifty(_bits_of(s.keys)), "key long, bits binary").collect())
     s.bits = np.array([np.frombuffer(bits[r["key"]], np.uint8) for r in kept]).reshape(len(kept), -1)
     chain = s.chain(picked)
     for spent in (drawn, chosen, sample, tallies):
@@ -349,7 +349,7 @@ def annotate(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame
     renamed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     many = len(chain.links)
     schema = StructType([*renamed.schema.fields, *(StructField(f"_p{c}", DoubleType()) for c in range(many)), StructField("_flag", BooleanType())])
-    out = renamed.mapInArrow(_annotate(spark.sparkContext.broadcast(chain), docs.columns.index(text_col)), schema)
+    out = renamed.mapInArrow(thrifty(_annotate(spark.sparkContext.broadcast(chain), docs.columns.index(text_col))), schema)
     probabilities = F.array(*(F.col(f"_p{c}") for c in range(many)))
     return out.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)), probabilities.alias("_p"), "_flag")
 
