@@ -48,6 +48,17 @@ def test_gates_keep_the_first(spark):
     assert (r["score"], r["mode"], r["gate"]) == (0.35, "abstain_and_route", "unknown_asset")
 
 
+def test_reranker_shares_next_to_the_middle_of_two_steps(spark, duck):
+    from strandline.functions.extract import reranker_share
+
+    balances = [-273.12, 4381.92, -912.48, -486.24, 4535.52, 0.0, 9999.0, -9999.0]
+    got = spark.createDataFrame([(b,) for b in balances], "b double").select(reranker_share(F.col("b") / 400)).collect()
+    sql = "SELECT round((least(greatest(b / 400, -12.0::DOUBLE), 12.0::DOUBLE) + 12) / 24, 4) FROM (SELECT unnest(?::DOUBLE[]) AS b)"
+    assert [r[0] for r in got] == [r[0] for r in duck.execute(sql, [balances]).fetchall()]
+    assert [r[0] for r in got][:3] == [0.4716, 0.9565, 0.4049]
+    assert spark.range(1).select(reranker_share(F.lit(None).cast("double"))).first()[0] == 0.0
+
+
 def test_diverse_choice(spark):
     arr = F.array(*(F.array(*map(F.lit, x)) for x in (["a", "b", "c"], ["a", "b", "c"], ["d"], ["e"], ["f"], ["g"])))
     from strandline.functions.text import jaccard
