@@ -59,7 +59,7 @@ NUM, DEN = 80, 100
 #: Schemes with at most this many differences enumerate subsets of k + 3 parts.
 SMALL_K = 5
 #: Signatures gathered before a map task writes its blobs, and aimed at per bucket.
-FLUSH = 1_000_000
+FLUSH = 250_000
 PER_BUCKET = 1_500_000
 #: Sets of one group compared in one task; larger groups are dealt in blocks of about this size.
 BLOCK = 1024
@@ -217,7 +217,7 @@ def _blobs(buckets: int, num: int, den: int):
                     sets.append(x)
                     ids.append(s)
                     size += len(x)
-                if sets and (x is None or size > 1 << 18):
+                if sets and (x is None or size > 1 << 17):
                     sig, owner = signatures(sets, schemes)
                     sigs.append(sig)
                     nodes.append(np.array(ids, np.int64)[owner])

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.textkit import give_up, thrifty
 from strandline.llm.tokens import chunk_tokenizer, vocabulary
 from strandline.runtime import shared_table, ship
 
@@ -62,6 +63,7 @@ def _pack(capacity: int, level: int, last: bool):
     """One round in one task: items in, bins out. ``members``: (piece number, offset) pairs of int64."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_up()  # texts are tokenized by now
         task = table.column("task")[0].as_py()
         members = table.column("members").to_pylist()
         length = table.column("length").to_numpy()
@@ -155,7 +157,7 @@ def packed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = rows.mapInArrow(_pieces(vocab, END_ID, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    pieces = rows.mapInArrow(thrifty(_pieces(vocab, END_ID, capacity), keeps=True), "doc_id long, piece int, start long, length long, ids_crc32 long")
     # numbers are fixed once written, so the join below sees the ones that were packed
     pieces = shared_table(pieces.withColumn("piece_no", F.monotonically_increasing_id()), "pack-pieces")
     return pieces.join(pack(pieces.select("piece_no", "length"), capacity), "piece_no").drop("piece_no")

@@ -32,6 +32,10 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+#: What gives up the things that operators keep in a worker from task to task.
+KEPT: list[Callable[[], None]] = []
+
+
 def give_back() -> None:
     """Hand freed memory of Arrow's and C's allocators back to the system."""
     pa.default_memory_pool().release_unused()
@@ -39,11 +43,18 @@ def give_back() -> None:
         _trim(0)
 
 
-def thrifty(run: Callable) -> Callable:
+def give_up() -> None:
+    """Call all of ``KEPT``."""
+    for f in KEPT:
+        f()
+
+
+def thrifty(run: Callable, keeps: bool = False) -> Callable:
     """``run`` over Arrow batches, which hands freed memory back behind each batch.
 
-    Workers are reused: what one stage leaves in their allocators would stand beside
-    all later stages of the executor.
+    Workers are reused: what one stage leaves in their allocators, or keeps for its
+    next task, would stand beside all later stages of the executor. So whatever doesn't
+    itself keep things gives up those of other stages first.
     """
 
     def frugal(batches):
@@ -53,6 +64,8 @@ def thrifty(run: Callable) -> Callable:
                 del t
                 give_back()
 
+        if not keeps:
+            give_up()
         try:
             yield from run(given())
         finally:

@@ -15,7 +15,7 @@ from array import array
 
 import numpy as np
 
-from strandline.llm.textkit import texts
+from strandline.llm.textkit import KEPT, texts
 
 #: Chunks a worker remembers (about 150 bytes each).
 CACHE = 600_000
@@ -101,6 +101,7 @@ class ChunkTokenizer:
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
+KEPT.append(_TOKENIZERS.clear)
 
 
 def chunk_tokenizer(path: str) -> ChunkTokenizer:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, packing, tokens, toxicity, warc
+from strandline.llm import decontaminate, jaccard_join, packing, textkit, tokens, toxicity, warc
 
 
 def plain_items(text, items):
@@ -248,3 +248,19 @@ def test_jaccard_of_very_long_texts(spark):
     docs = [(1, long), (2, long.replace("w777 ", "z ")), (3, long[: len(long) // 2]), (4, None)]
     got = jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_components(docs)
+
+
+def test_workers_give_up_what_another_stage_kept():
+    rows = pa.record_batch([pa.array([1, 2]), pa.array(["some words", None])], names=["doc_id", "text"])
+    list(textkit.thrifty(packing._pieces("word_bpe_49k.json", 1, 4096), keeps=True)([rows]))
+    assert tokens._TOKENIZERS
+    list(textkit.thrifty(jaccard_join._describe)([rows]))
+    assert not tokens._TOKENIZERS
+
+
+def test_signatures_are_sent_before_they_fill_a_worker():
+    texts = pa.array([" ".join(f"w{(i * 977 + j) % 50021}" for j in range(400)) for i in range(3000)])
+    blobs = list(jaccard_join._blobs(1, 80, 100)([pa.record_batch([texts], names=["text"])]))
+    sizes = [len(x) // 8 for b in blobs for x in b.column("nodes").to_pylist()]
+    assert sum(sizes) > 500_000
+    assert max(sizes) < 500_000
