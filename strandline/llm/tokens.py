@@ -2,8 +2,9 @@
 
 The tokenizer in use drops white space and never joins what white space divides,
 so the ids of a text are the ids of its chunks one after another. A worker keeps
-the packed ids of chunks it has met; only new chunks go through the tokenizer,
-many at a time. The cache is emptied when it is full, which costs time and
+the packed ids of chunks it has met; only new chunks go through the tokenizer.
+Chunks are kept in two halves: when the newer is full it becomes the older, and
+what stood in the older is forgotten unless it was met again. That costs time and
 changes nothing else.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from codecs import charmap_decode
 
 import numpy as np
 
@@ -20,8 +22,31 @@ from strandline.llm.textkit import KEPT, texts
 #: Chunks a worker remembers (about 150 bytes each).
 CACHE = 600_000
 
-#: Fixed by the tokenizer's own split pattern, for lower-case ASCII.
-ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Printable ASCII and Latin-1, which the tokenizer's normalizer leaves as they are but for case.
+LATIN = re.compile(r"[!-~\xa1-\xff]+")
+#: Fixed by the tokenizer's own split pattern, for lower-case text of those characters.
+LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}]+")
+#: The character that stands for each byte in a byte-level vocabulary.
+_SPARE = iter(range(256, 512))
+BYTE_LEVEL = "".join(chr(b if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE else next(_SPARE)) for b in range(256))
+
+
+class Known(dict):
+    """Packed ids by chunk; a new chunk is taken from the older half or learned."""
+
+    def __init__(self, learn):
+        self.learn, self.older = learn, {}
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.older.get(chunk)
+        self[chunk] = ids = self.learn(chunk) if ids is None else ids
+        return ids
+
+    def limit(self, most: int) -> None:
+        if len(self) > most // 2:
+            self.older = dict(self)
+            self.clear()
 
 
 class ChunkTokenizer:
@@ -33,71 +58,52 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters_only = not any(x.isalpha() or not x.isascii() for x in self.added)
         self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def word(self, part: str) -> bytes:
-        """Ids of a part that the tokenizer's split leaves whole."""
-        return array("I", [x.id for x in self.model.tokenize(part)]).tobytes()
-
-    def plain(self, chunk: bytes) -> bytes:
-        """Ids of a chunk of printable ASCII: lower case, split as the tokenizer splits, each part through its model."""
-        out = []
-        for part in ASCII_PARTS.findall(chunk.decode().lower()):
-            ids = self.parts.get(part) or self.known.get(part.encode())
-            if ids is None:
-                ids = self.word(part)
-                if len(part) < 4:
-                    self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def learn(self, chunks: list[bytes]) -> None:
-        """Encode new chunks, those outside printable ASCII in long lines; a token belongs to the chunk it starts in.
-
-        A chunk that holds an added token of the vocabulary goes through the library by itself.
-        """
-        together, rest, known = b" ".join(chunks).lower(), [], self.known
-        if any(x in together for x in self.added):
-            for c in [c for c in chunks if any(x in c.lower() for x in self.added)]:
-                known[c] = np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-            chunks = [c for c in chunks if c not in known]
-        for c in sorted(chunks, key=bytes.isalpha, reverse=True):
-            if c.isalpha():  # ASCII letters alone are one part, which other chunks may hold too
-                low = c.lower()
-                ids = known.get(low)
-                known[c] = self.word(low.decode()) if ids is None else ids
-            elif c.isascii() and c.decode().isprintable():
-                known[c] = self.plain(c)
-            else:
-                rest.append(c)
-        chunks = rest
-        for at in range(0, len(chunks), 2000):
-            part = [c.decode() for c in chunks[at : at + 2000]]
-            starts = np.cumsum([0] + [len(c) + 1 for c in part])
-            done = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(done.ids, "<u4")
-            begin = np.array([x[0] for x in done.offsets], np.int64) if len(ids) else np.zeros(0, np.int64)
-            cuts = np.searchsorted(begin, starts)
-            for i, c in enumerate(chunks[at : at + 2000]):
-                self.known[c] = ids[cuts[i] : cuts[i + 1]].tobytes()
+        self.known = Known(self.learn)
+        self.parts: dict[bytes, bytes] = {}
+
+    def part(self, low: bytes) -> bytes:
+        """Ids of a lower-case part that the tokenizer's split leaves whole; parts of letters are often chunks too."""
+        ids = self.parts.get(low) or self.known.get(low) or self.known.older.get(low)
+        if ids is None:
+            ids = array("I", [x.id for x in self.model.tokenize(charmap_decode(low, "strict", BYTE_LEVEL)[0])]).tobytes()
+            if len(low) < 4:
+                self.parts[low] = ids
+        return ids
+
+    def learn(self, chunk: bytes) -> bytes:
+        """Ids of a new chunk. One that holds an added token, or other than Latin-1, goes through the library."""
+        if self.letters_only and chunk.isalpha():  # of ASCII
+            return self.part(chunk.lower())
+        text, low = chunk.decode(), chunk.lower()
+        for x in self.added:
+            if x in low:
+                break
+        else:
+            if text.isprintable() if text.isascii() else LATIN.fullmatch(text):
+                low = text.lower()
+                if low.isalpha():
+                    return self.part(low.encode())
+                return b"".join([self.part(x.encode()) for x in LATIN_PARTS.findall(low)])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def packed(self, column):
-        """Packed ids of every text of a column; null counts as empty."""
+        """Packed ids of every text of a column; null counts as empty.
+
+        The tokenizer takes lower case, so ASCII letters are lowered first and fewer chunks are met. Not where
+        a combining mark (bytes CC and CD begin those that join ASCII letters) joins before it lowers, or by an added token.
+        """
         offsets, raw = texts(column)
         data = raw.tobytes()
-        for a in range(0, len(offsets) - 1, 256):
-            b = min(a + 256, len(offsets) - 1)
-            docs = [data[offsets[i] : offsets[i + 1]].split() for i in range(a, b)]
-            if len(self.known) > CACHE:
-                self.known.clear()
-            new = set().union(*docs).difference(self.known)
-            if new:
-                self.learn(list(new))
-            get = self.known.__getitem__
-            for doc in docs:
-                yield b"".join(map(get, doc))
+        get = self.known.__getitem__
+        for i in range(len(offsets) - 1):
+            text = data[offsets[i] : offsets[i + 1]]
+            low = text.lower()
+            if b"\xcc" not in low and b"\xcd" not in low and not any(x in low for x in self.added):
+                text = low
+            yield b"".join(map(get, text.split()))
+            self.known.limit(CACHE)
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}

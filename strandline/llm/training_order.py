@@ -134,7 +134,7 @@ def _send(vocab: str, length: int, rows: int, n: int, key: int):
 
     def run(batches):
         forget()  # the worker may have tokenized before; ids need no words
-        squeeze = zstandard.ZstdCompressor(9).compress
+        squeeze = zstandard.ZstdCompressor(5).compress
         pad = PAD if vocab == "bytes" else VOCAB_PAD
         held, size = [], 0
 

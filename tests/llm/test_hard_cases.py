@@ -264,3 +264,20 @@ def test_signatures_are_sent_before_they_fill_a_worker():
     sizes = [len(x) // 8 for b in blobs for x in b.column("nodes").to_pylist()]
     assert sum(sizes) > 500_000
     assert max(sizes) < 500_000
+
+
+def test_tokenizer_learns_a_word_once_whatever_its_case(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary("word_bpe_49k.json")
+    monkeypatch.setattr(tokens, "CACHE", 40)
+    rng = random.Random(5)
+    texts = ["Bearing BEARING bearing", "J̌ ǰ ǰ İ İ ÉtÉ's ½²x ªµº×÷ a­.b a b ’s", "<|endoftext|> <|ENDOFTEXT|>"]
+    texts += [" ".join("".join(map(chr, rng.choices([*range(0x21, 0x7F), *range(0xA1, 0x100)], k=rng.randint(1, 6)))) for _ in range(5)) + " Bearing" for _ in range(200)]
+    met, t = [], tokens.ChunkTokenizer(path)
+    learn = t.known.learn
+    t.known.learn = lambda chunk: met.append(chunk) or learn(chunk)
+    library = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in t.packed(pa.array(texts))] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [x for x in met if x.lower() == b"bearing"] == [b"bearing"]
+    assert len(t.known) + len(t.known.older) < 60
