@@ -155,3 +155,17 @@ def test_cleaned_fields(spark):
         F.array_join(E.references(F.lit("SOP4412, wo 12, OISD-STD-105; XSOP-1 API a")), "|").alias("h"), E.first_date(F.lit("x"), F.lit("31/02/2024 and 5 Mar 2021")).cast("string").alias("i"),
     ).first()
     assert tuple(row) == ("bx.pdf", "unnamed", "MODERATE", None, "my file 2.tar", "work order: vib/temp, shutdown. pump", "{}", "SOP-4412|OISD-STD-105", "2021-03-05")
+
+
+def test_siblings_of_one_group_are_dealt_over_tasks(spark):
+    rows = spark.range(0, 2100, 1, 1).select("id", F.lit(None).cast("string").alias("a"), F.lit(1).alias("b"))
+    got = R.siblings(rows, "id", ["a", "b"])
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 2100 * 2099 and max(sizes) < 0.7 * sum(sizes)
+
+
+def test_siblings_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "SIBLING_BLOCK", 3)
+    data = [(i, None if i % 5 == 0 else f"k{i % 4}", None if i % 3 == 0 else i % 2) for i in range(60)] + [(None, "k1", 1), (7, "k1", 0), (7, "k3", 1)]
+    got = sorted(tuple(r) for r in R.siblings(spark.createDataFrame(data, "id long, a string, b long"), "id", ["a", "b"]).collect())
+    assert got == sorted((x[0], y[0]) for x in data for y in data if x[1:] == y[1:] and None not in (x[0], y[0]) and x[0] != y[0])
