@@ -169,3 +169,24 @@ def test_siblings_in_small_blocks(spark, monkeypatch):
     data = [(i, None if i % 5 == 0 else f"k{i % 4}", None if i % 3 == 0 else i % 2) for i in range(60)] + [(None, "k1", 1), (7, "k1", 0), (7, "k3", 1)]
     got = sorted(tuple(r) for r in R.siblings(spark.createDataFrame(data, "id long, a string, b long"), "id", ["a", "b"]).collect())
     assert got == sorted((x[0], y[0]) for x in data for y in data if x[1:] == y[1:] and None not in (x[0], y[0]) and x[0] != y[0])
+
+
+def test_numbers_in_groups_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(R, "NUMBERED_ROWS", 40)
+    data = [(None if i % 11 == 0 else "ab"[i % 2], None if i % 7 == 0 else i % 13, i // 2, "x") for i in range(500)]
+    rows = spark.createDataFrame(data, "k string, on int, id long, v string").repartition(5)
+    got = R.numbered(rows, "k", [F.col("on").asc_nulls_last(), F.col("id")], "place", ["id", "on", "k"])
+    want = []
+    for k in (None, "a", "b"):
+        mine = sorted((r for r in data if r[0] == k), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+        want += [(r[2], r[1], k, n + 1) for n, r in enumerate(mine)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_timeline_sorts_no_kind_in_one_task(spark):
+    from conftest import SF_DIR
+
+    from strandline.plans import records
+
+    plan = records.timeline_nulls_last(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan  # a window over a kind would sort all its rows in one task
