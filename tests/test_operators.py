@@ -190,3 +190,22 @@ def test_timeline_sorts_no_kind_in_one_task(spark):
 
     plan = records.timeline_nulls_last(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "row_number" not in plan  # a window over a kind would sort all its rows in one task
+
+
+def test_document_types_in_one_walk(spark):
+    from strandline.functions import vocab as V
+    from strandline.operators.documents import classify
+
+    def plain(text):
+        low, rated = (text or "").lower(), []
+        for n, (kind, weight, phrases) in enumerate(V.KEYWORD_RULES):
+            at = min((low.find(p) + 1 for p in phrases if p in low), default=None)
+            rated.append((0.0 if at is None else weight if at <= V.TITLE_WINDOW else weight * V.REFERENCE_PENALTY, -n, kind))
+        best = max(rated)
+        return best[2] if best[0] > 0 else "unknown"
+
+    every = [p for _, _, phrases in V.KEYWORD_RULES for p in phrases]
+    texts = [None, "", "é" * 5 + "Work Order No", "x" * 599 + "hazop", "x" * 600 + "hazop", "x" * 600 + "HAZOP and p&id", "İ" * 599 + "moc no", *every, *(f"{'é' * 595}{a}. {b}" for a, b in zip(every, every[7:]))]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string").select("n", classify(F.col("t")).alias("k"))
+    assert {r["n"]: r["k"] for r in rows.collect()} == {n: plain(t) for n, t in enumerate(texts)}
+    assert rows._jdf.queryExecution().executedPlan().toString().count("instr(") == 0
