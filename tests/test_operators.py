@@ -209,3 +209,43 @@ def test_document_types_in_one_walk(spark):
     rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string").select("n", classify(F.col("t")).alias("k"))
     assert {r["n"]: r["k"] for r in rows.collect()} == {n: plain(t) for n, t in enumerate(texts)}
     assert rows._jdf.queryExecution().executedPlan().toString().count("instr(") == 0
+
+
+def _most_rows(frame):
+    """The most rows that any step of the plan made, from the metrics of the last run."""
+    frame.collect()
+    todo, most = [frame._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        m = p.metrics().get("numOutputRows")
+        most = max(most, m.get().value() if m.isDefined() else 0)
+        name = p.getClass().getSimpleName()
+        todo += [p.executedPlan()] if name == "AdaptiveSparkPlanExec" else [p.plan()] if name.endswith("QueryStageExec") else []
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
+def test_two_routes_over_a_common_part(spark):
+    # Every line names part 1: as many pairs by part as lines times suppliers.
+    links = spark.range(2000).select((F.col("id") % 40).alias("s"), F.lit(1).alias("p"), F.col("id").alias("o"))
+    got = R.two_routes(links, "s", "p", "o", 30)
+    assert _most_rows(got) <= 4000
+    assert {(r["s"], r["o"], r["route"], r["mentions"]) for r in got.collect()} == {(s, s + 40 * n, 0, 1) for s in range(40) for n in range(30)}
+
+
+def test_two_routes_against_a_plain_count(spark):
+    import random
+    from collections import Counter
+
+    rnd = random.Random(3)
+    pick = lambda n: rnd.choice([None, *range(n)])
+    data = [(pick(4) if rnd.random() < 0.7 else rnd.randrange(4, 40), pick(9), pick(60)) for _ in range(700)]
+    direct, parts = Counter((s, o) for s, _, o in data), {(s, p) for s, p, _ in data}
+    via = Counter((s, o) for s, p in parts for _, q, o in data if p is not None and p == q)
+    for k in (1, 20, 30, 50):
+        want = []
+        for s in {s for s, _ in via | direct}:
+            rated = sorted((0 if x in direct else 1, -max(direct[x], via[x]), x[1] is not None, x[1] or 0) for x in via | direct if x[0] == s)
+            want += [(s, o if there else None, route, -n) for route, n, there, o in rated[:k]]
+        got = R.two_routes(spark.createDataFrame(data, "s long, p long, o long"), "s", "p", "o", k).select("s", "o", "route", "mentions")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
