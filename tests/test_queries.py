@@ -73,3 +73,28 @@ def test_chunks_match_plain_fold(spark):
     got = {(r["id"], r["ordinal"]): r["chunk"] for r in chunks(docs, "doc_id", "text").collect()}
     want = {(i, n): c for i, t in texts for n, c in enumerate(split_text(t or "", 1400, 2400))}
     assert got == want
+
+
+def test_chunks_leave_a_worker_in_slices(spark):
+    import pyarrow as pa
+
+    from strandline import runtime
+
+    texts = ["x" * 400_000, None, "", *["é" * 300] * 6000, "y" * 3_000_000, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    parts = list(runtime.slices(iter([batch, batch.slice(0, 0)]), 1))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts and [x for p in parts for x in p.column(0).to_pylist()] == list(range(len(texts)))
+    sizes = [sum(len((x or "").encode()) for x in p.column(1).to_pylist()) for p in parts]
+    assert max(sizes[:-2]) < runtime.SLICE_BYTES + 400_000 and len(parts) > 4
+
+
+def test_chunks_give_out_a_slice_at_a_time(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.operators.documents import chunks
+
+    docs = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.concat("id", F.lit(" word.\n")), 400).alias("text"))
+    got = chunks(docs, "id", "text")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    assert got.select("id").distinct().count() == 4000
