@@ -249,3 +249,16 @@ def test_two_routes_against_a_plain_count(spark):
             want += [(s, o if there else None, route, -n) for route, n, there, o in rated[:k]]
         got = R.two_routes(spark.createDataFrame(data, "s long, p long, o long"), "s", "p", "o", k).select("s", "o", "route", "mentions")
         assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_terms_remember_a_bounded_number_of_bytes():
+    from strandline.functions import terms
+
+    of = terms.Terms()
+    words = [f"w{'abcdefghij'[i % 10]}x{i:06d}" for i in range(300_000)] + ["y" * 4_000_000 + str(i) for i in range(9)]
+    most = 0
+    for n in range(0, len(words), 1000):
+        part = words[n : n + 1000]
+        assert of(" ".join(part)) == [terms.term_of(w) for w in part if terms.term_of(w)]
+        most = max(most, sum(2 * len(w) + terms.PIECE_BYTES for d in (of.known, getattr(of, "older", {})) for w in d) if n % 20_000 == 0 or n >= 299_000 else 0)
+    assert most <= terms.CACHE_BYTES + 2 * 8_000_500
