@@ -262,3 +262,14 @@ def test_terms_remember_a_bounded_number_of_bytes():
         assert of(" ".join(part)) == [terms.term_of(w) for w in part if terms.term_of(w)]
         most = max(most, sum(2 * len(w) + terms.PIECE_BYTES for d in (of.known, getattr(of, "older", {})) for w in d) if n % 20_000 == 0 or n >= 299_000 else 0)
     assert most <= terms.CACHE_BYTES + 2 * 8_000_500
+
+
+def test_listed_terms_leave_a_worker_in_slices():
+    import pyarrow as pa
+
+    texts = [f"alpha beta{i % 7} gamma " * 40 for i in range(5000)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    out = list(Q._listed(None)(iter([batch])))
+    assert len(out) > 3 and sum(b.num_rows for b in out) == len(texts)
+    got = pa.Table.from_batches(out).to_pylist()
+    assert [r["id"] for r in got] == list(range(len(texts))) and got[3] == {"id": 3, "length": 120, "terms": ["alpha", "beta3", "gamma"], "tf": [40, 40, 40]} and got[-1]["length"] == 0
